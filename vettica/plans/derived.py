@@ -122,6 +122,35 @@ POLICY_SQL = {name: _policy_case(i) for i, name in enumerate(("threshold", "low"
 
 CODE_CORPUS = _code_corpus()
 
+# everything with text in it, under one path scheme
+TEXT_CORPUS = f"""
+select concat('documents/', cast(doc_id as varchar(20))) as path, text from documents
+union all
+select concat('conversations/', cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))
+       as path, text from conversations
+union all
+select concat('pages/', cast(page_id as varchar(20))) as path, html as text from pages
+union all
+select concat('code/', path) as path, text from ({CODE_CORPUS}) as code"""
+
+# names around the edges of what counts as a wrapper of a known function
+NAME_SHAPES = (
+    "mpack_memcpy", "my_strcpy_wrapper", "mpackMemcpy", "safeStrCpy", "MallocWrapper",
+    "calculate_total", "mallocator", "freetype_init", "somestrcpycall", "myStructCpy", "XStrcpy",
+    "x{N}_free", "free{N}", "Free{N}", "a{N}Free", "Free_{N}", "ShellExecuteW", "run{N}System",
+    "CALLOC{N}", "f{N}Snprintf", "exec_{N}_gets", "{N}", "aExecVp", "syslogX",
+)
+
+
+def _names() -> str:
+    shapes = " ".join(
+        f"when {i} then {sql_text(shape, 'p_partkey')}" for i, shape in enumerate(NAME_SHAPES)
+    )
+    return f"select case p_partkey % {len(NAME_SHAPES)} {shapes} end as name from part"
+
+
+NAMES = _names()
+
 # one candidate per order; scores hit every threshold and zone edge
 SCORED_CANDIDATES = """
 select cast(o_orderkey as varchar(20)) as candidate_id,
@@ -190,6 +219,15 @@ def code_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, CODE_CORPUS, part=table(spark, folder, "part"))
 
 
+def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("documents", "conversations", "pages", "part")
+    return _view(spark, TEXT_CORPUS, **{name: table(spark, folder, name) for name in names})
+
+
+def names(spark: SparkSession, folder: str) -> DataFrame:
+    return _view(spark, NAMES, part=table(spark, folder, "part"))
+
+
 def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, SCORED_CANDIDATES, orders=table(spark, folder, "orders"))
 
