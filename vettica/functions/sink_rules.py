@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,15 @@ class SinkRule(NamedTuple):
     args: str = ""
     cwe: tuple[str, ...] = ()
 
+    def text_pattern(self) -> str:
+        """A cheap pattern found in every text that can hold a hit; empty, so
+        found in any text, where the name pattern is not a plain list."""
+        wrapper = re.match(r"\(\^\|_\)\(([\w|\[\]?]+)\)", self.name)
+        if wrapper and self.name == component(wrapper[1]):
+            return f"(?i:{wrapper[1]})"
+        exact = re.fullmatch(r"\^\(?([\w|]+)\)?\$", self.name)
+        return f"(?:{exact[1]})" if exact else ""
+
 
 # Function names per group, and the weakness codes of each group.
 BUFFER = "strcpy|strcat|sprintf|vsprintf|gets|scanf|stpcpy|wcscpy|wcscat"
@@ -119,6 +129,11 @@ def name_filter(rules: tuple[SinkRule, ...], lang: str) -> str:
     return "|".join(f"(?:{name})" for name in names)
 
 
+def text_filter(rules: tuple[SinkRule, ...], lang: str) -> str:
+    """One pattern found in every text some rule of the language can hit."""
+    return "|".join(sorted({rule.text_pattern() for rule in rules if rule.lang == lang}))
+
+
 def matching_rules(
     rules: tuple[SinkRule, ...],
     lang: Column,

@@ -7,6 +7,9 @@ column expression, so scanning a corpus is a single map stage: no file is
 shuffled, sorted or joined to itself, a hot path or directory does not matter,
 and a lost task repeats only its own files.
 
+The folds are SQL text rather than Column calls: each is one expression of some
+hundred terms, and a plan is built much faster from text.
+
 Text is handled as one character per UTF-8 byte (``bytes_as_chars``), so all
 columns and extents count bytes.
 
@@ -15,8 +18,6 @@ What tokens cannot tell apart is listed in the README.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,22 +35,21 @@ BRACE_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
 LONG_QUOTED = (
     rf'"""[\s\S]*?{_CLOSING}(?:"""|\z)|\'\'\'[\s\S]*?{_CLOSING}(?:\'\'\'|\z)'
 )
-_DIRECTIVE = r"(?m)^[ \t]*#[\s\S]*?(?:(?<!\\)(?<!\\\r)(?=\n)|(?=/\*)|\z)"
+# outside comments and literals a # always starts a directive
+_DIRECTIVE = r"#[\s\S]*?(?:(?<!\\)(?<!\\\r)(?=\n)|(?=/\*)|\z)"
 _RAW_STRING = r'(?<=R)"([^()\\\s"]{0,16})\([\s\S]*?\)\1"'
 
 PIECES = {
-    "c": rf"{_DIRECTIVE}|{BRACE_COMMENTS}|{DOUBLE_QUOTED}|{CHARACTER}|[^/\"'\n]+|[\s\S]",
+    "c": rf"[^/\"'#]+|{_DIRECTIVE}|{BRACE_COMMENTS}|{DOUBLE_QUOTED}|{CHARACTER}|[\s\S]",
     "cpp": (
-        rf"{_DIRECTIVE}|{BRACE_COMMENTS}|{_RAW_STRING}|{DOUBLE_QUOTED}|{CHARACTER}"
-        r"|[^/\"'\n]+|[\s\S]"
+        rf"[^/\"'#]+|{_DIRECTIVE}|{BRACE_COMMENTS}|{_RAW_STRING}|{DOUBLE_QUOTED}|{CHARACTER}"
+        r"|[\s\S]"
     ),
     "java": (
-        rf'{BRACE_COMMENTS}|"""[\s\S]*?{_CLOSING}"""|{DOUBLE_QUOTED}|{CHARACTER}'
-        r"|[^/\"'\n]+|[\s\S]"
-    ),
-    "python": (
-        rf"#[^\n]*|{LONG_QUOTED}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[^#\"'\n]+|[\s\S]"
+        rf'[^/\"\']+|{BRACE_COMMENTS}|"""[\s\S]*?{_CLOSING}"""|{DOUBLE_QUOTED}|{CHARACTER}'
+        r"|[\s\S]"
     ),
+    "python": rf"[^#\"']+|#[^\n]*|{LONG_QUOTED}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[\s\S]",
 }
 
 STEPS = {
@@ -61,16 +61,10 @@ STEPS = {
 
 # Words that may stand directly before a called name, and words
 # that look like a call but are not one.
-WORDS_BEFORE_CALL = {
-    "brace": (
-        "return else case throw do goto co_return co_await co_yield and or not xor "
-        "assert yield await delete instanceof in"
-    ).split(),
-    "python": (
-        "return else and or not in is if elif while yield lambda assert del raise await "
-        "for with except from import print exec async case match"
-    ).split(),
-}
+WORDS_BEFORE_CALL = (
+    "return else case throw do goto co_return co_await co_yield and or not xor "
+    "assert yield await delete instanceof in"
+).split()
 NOT_CALLED = {
     "brace": (
         "if for while switch catch return sizeof alignof alignas typeof decltype defined "
@@ -95,602 +89,515 @@ BEFORE_FUNCTION = (
     r'(?:extern\s*"[^"\n\s]*"?\s*)?'
 )
 
-CALL_TYPE = (
-    "struct<line:int,start_column:int,name:string,form:string,target:string,args:string>"
-)
+CALL_TYPE = "struct<line:int,start_column:int,name:string,form:string,target:string,args:string>"
 UNIT_TYPE = (
-    f"struct<start_line:int,start_column:int,end_line:int,end_column:int,"
-    f"calls:array<{CALL_TYPE}>>"
+    f"struct<start_line:int,start_column:int,end_line:int,end_column:int,calls:array<{CALL_TYPE}>>"
+)
+POSITION_TYPE = "struct<line:int,col:int>"
+OPENED_TYPE = "struct<kind:string,head:string,line:int,col:int>"
+SHAPE_TYPE = (
+    "struct<name:string,before:string,word:string,link:string,scope:string,up_to_name:string>"
 )
+FORM_TYPE = "struct<form:string,target:string>"
+BRACE_STEP_TYPE = (
+    f"struct<ends:string,text:string,run:string,head:string,shape:{SHAPE_TYPE},args:string>"
+)
+BRACE_FACTS_TYPE = (
+    f"struct<kind:string,opens:boolean,pop:int,head:string,at:{POSITION_TYPE},"
+    f"next:{POSITION_TYPE},gone:{OPENED_TYPE},finished:boolean,keep:boolean,found:{CALL_TYPE}>"
+)
+PYTHON_STEP_TYPE = f"struct<ends:string,run:string,used:int,shape:{SHAPE_TYPE}>"
+PYTHON_FACTS_TYPE = (
+    f"struct<is_code:boolean,indent:int,left:int,defines:boolean,found:{CALL_TYPE}>"
+)
+NO_CALLS = f"cast(array() as array<{CALL_TYPE}>)"
+NO_UNITS = f"cast(array() as array<{UNIT_TYPE}>)"
 
+BRACE_LANGUAGES = ("c", "cpp", "java")
+LANGUAGES = (*BRACE_LANGUAGES, "python")
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
 
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def _blank(piece: Column, filler: str) -> Column:
-    return F.when(
-        F.instr(piece, "\n") == 0, F.repeat(F.lit(filler), F.length(piece))
-    ).otherwise(F.regexp_replace(piece, r"[^\n]", filler))
 
+def _any(column: str, words: list[str] | tuple[str, ...]) -> str:
+    return f"{column} in ({', '.join(_text(word) for word in words)})"
 
-def _mask_piece(piece: Column, lang: str) -> Column:
-    size = F.length(piece)
-    inside = F.concat(
-        F.substring(piece, 1, 1), _blank(F.substr(piece, F.lit(2)), FILLER)
-    )
-    first = F.substring(piece, 1, 1)
-    if lang == "python":
-        return (
-            F.when(first == "#", _blank(piece, " "))
-            .when(first.isin('"', "'") & (size > 1), inside)
-            .otherwise(piece)
-        )
-    masked = F.when(
-        F.substring(piece, 1, 2).isin("//", "/*"), _blank(piece, " ")
-    )
-    if lang in ("c", "cpp"):
-        masked = masked.when(piece.rlike(r"^[ \t]*#"), _blank(piece, " "))
-    # a literal of one word stays readable: rules may ask for its value
-    return (
-        masked.when((first == '"') & piece.rlike(r'^"[\w-]*"$'), piece)
-        .when(first.isin('"', "'") & (size > 1), inside)
-        .otherwise(piece)
-    )
 
+def _let(value: str, name: str, body: str, result: str) -> str:
+    """Evaluate ``value`` once and use it by name in ``body``, whose type is
+    ``result``.
 
-def mask(code: Column, lang: str) -> Column:
-    """The code with everything that is not code blanked out, length kept."""
-    pieces = F.regexp_extract_all(code, F.lit(PIECES[lang]), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda piece: _mask_piece(piece, lang)), "")
+    A fold over one element does this cheapest: ``transform(...)[0]`` copies
+    what it returns and derives its type again for every row.
+    """
+    return f"aggregate(array({value}), cast(null as {result}), (z, {name}) -> {body})"
 
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def _lets(bindings: dict[str, str], body: str, result: str) -> str:
+    """Nested ``_let``: later values may use earlier names."""
+    for name, value in reversed(bindings.items()):
+        body = _let(value, name, body, result)
+    return body
 
 
-def _after(line: Column, column: Column, text: Column) -> Column:
-    """Position (line, column) reached after some text."""
-    return _let(
-        F.struct(_newlines(text).alias("n")),
-        lambda v: F.struct(
-            (line + v["n"]).cast("int").alias("line"),
-            F.when(v["n"] == 0, column + F.length(text))
-            .otherwise(F.length(F.substring_index(text, "\n", -1)))
-            .cast("int")
-            .alias("column"),
-        ),
-    )
+def _then(facts: str, state: str) -> str:
+    """The next ``state`` of a fold from ``s`` and some facts ``f``."""
+    return f"aggregate(array({facts}), s, (s, f) -> {state})"
 
 
-def _squeeze(text: Column) -> Column:
-    return F.translate(text, " \t\n\r\f\v", "")
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _last_name(chain: Column) -> Column:
-    return F.when(chain.rlike(r"[.:>]"), F.regexp_extract(chain, rf"{NAME}+$", 0)).otherwise(chain)
+def _by_language(texts: dict[str, str], otherwise: str) -> str:
+    cases = " ".join(f"when {_text(lang)} then {sql}" for lang, sql in texts.items())
+    return f"case lang {cases} else {otherwise} end"
 
 
-def _call_shape(run: Column, chain: Column, name: Column) -> Column:
-    """What the text before an opening parenthesis says about a call."""
-    lead = F.regexp_replace(run, CHAIN + r"\s*$", "")
-    before = F.regexp_replace(lead, r"\s+$", "")
-    word = F.regexp_extract(before, rf"(?<!{NAME}){NAME}++$", 0)
-    link = F.regexp_extract(chain, rf"(\.|->|::)\s*{NAME}+$", 1)
-    scope = F.regexp_replace(
-        _squeeze(F.regexp_replace(chain, rf"{NAME}+$", "")), r"(?:\.|->|::)$", ""
-    )
-    return F.struct(
-        name.alias("name"),
-        link.alias("link"),
-        scope.alias("scope"),
-        before.alias("before"),
-        word.alias("word"),
-        F.regexp_replace(run, rf"{NAME}+\s*$", "").alias("up_to_name"),
+def _blank(piece: str, filler: str) -> str:
+    return (
+        f"if(instr({piece}, '\\n') = 0, repeat('{filler}', length({piece})),"
+        f" regexp_replace({piece}, '[^\\n]', '{filler}'))"
     )
 
 
-def _form(shape: Column, closed: Column, family: str) -> Column:
-    """(form, target) of a call; the form is null for what is not a call."""
-    before, word, link, scope = (shape[k] for k in ("before", "word", "link", "scope"))
-    dotted = before.rlike(r"(?:\.|->)$")
-    scoped = before.endswith("::")
-    declared = (word != "") & ~word.isin(*WORDS_BEFORE_CALL[family])
-    if family == "python":
-        declared = word.isin("def", "class")
-    receiver = F.when(
-        before.isin(".", "->") & closed.isNotNull() & (closed != ""),
-        F.concat(closed, F.lit("()")),
-    ).otherwise(F.lit("?"))
-    form = (
-        F.when(shape["name"].isin(*NOT_CALLED[family]), F.lit(None))
-        .when(dotted | link.isin(".", "->"), F.lit("member"))
-        .when((word == "new") & (link != "::") & F.lit(family == "brace"), F.lit("new"))
-        .when(declared | before.endswith("@"), F.lit(None))
-        .when(scoped | (link == "::"), F.lit("scoped"))
-        .otherwise(F.lit("call"))
-    )
-    target = (
-        F.when(dotted & (scope == ""), receiver)
-        .when(dotted, F.concat(F.lit("?."), scope))
-        .when(scoped & (scope == ""), F.when(before == "::", "").otherwise("?"))
-        .when(scoped, F.concat(F.lit("::"), scope))
-        .otherwise(scope)
-    )
-    return F.struct(form.alias("form"), target.alias("target"))
+def _mask(code: str, lang: str) -> str:
+    """The code with everything that is not code blanked out, length kept."""
+    pieces = f"regexp_extract_all({code}, {_text(PIECES[lang])}, 0)"
+    quoted = "first in ('\"', '\\'') and length(p) > 1"
+    inside = f"concat(first, {_blank('substr(p, 2)', FILLER)})"
+    if lang == "python":
+        masked = f"case when first = '#' then {_blank('p', ' ')} when {quoted} then {inside} else p end"
+    else:
+        directive = f"when first = '#' then {_blank('p', ' ')}" if lang != "java" else ""
+        # a literal of one word stays readable: rules may ask for its value
+        masked = (
+            f"case when left(p, 2) in ('//', '/*') then {_blank('p', ' ')} {directive}"
+            f""" when first = '"' and p rlike {_text('^"[\\w-]*"$')} then p"""
+            f" when {quoted} then {inside} else p end"
+        )
+    return f"array_join(transform({pieces}, p -> {_let('left(p, 1)', 'first', masked, 'string')}), '')"
 
 
-def _is_hit(name: Column, names: str | None) -> Column:
-    return (name != "") & (name.rlike(names) if names else F.lit(True))
+def _newlines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, '\\n', '')))"
 
 
-def _brace_steps(masked: Column, lang: str, names: str | None) -> Column:
-    """Stateless facts about each piece, computed once."""
-    raw = F.regexp_extract_all(masked, F.lit(STEPS[lang]), F.lit(0))
-
-    def facts(steps: Column) -> Callable[[Column, Column], Column]:
-        def of(step: Column, i: Column) -> Column:
-            end = F.right(step, F.lit(1))
-            if lang == "cpp":
-                end = F.when(end == "e", "delete").otherwise(end)
-            run = F.left(step, F.length(step) - F.length(end))
-            opening = F.when(end == "(", run)  # null unless a bracket opens
-            return _let(
-                F.struct(
-                    step.alias("text"),
-                    end.alias("end"),
-                    run.alias("run"),
-                    F.regexp_extract(opening, CHAIN, 0).alias("chain"),
-                    F.when(end == "(", F.get(steps, i + 1)).alias("following"),
-                ),
-                lambda v: _let(
-                    F.struct(v.alias("v"), _last_name(v["chain"]).alias("name")),
-                    lambda w: detail(w["v"], w["name"]),
-                ),
-            )
-
-        def detail(v: Column, name: Column) -> Column:
-            run, chain = v["run"], v["chain"]
-            head = _squeeze(chain)
-            if lang != "c":
-                head = F.when(
-                    (run.contains("new") | run.contains("record"))
-                    & run.rlike(rf"\b(?:new|record)\s+{CHAIN}"),
-                    F.concat(F.lit("new "), head),
-                ).otherwise(head)
-            if lang == "cpp":
-                head = F.when(
-                    (chain == "") & run.rlike(r"\boperator\s*[^\w\s]{1,3}\s*$"), "operator"
-                ).otherwise(head)
-            return F.struct(
-                v["end"].alias("end"),
-                v["text"].alias("text"),
-                run.alias("run"),
-                F.when(v["end"] == "(", head).otherwise("").alias("head"),
-                F.when((name != "") & _is_hit(name, names), _call_shape(run, chain, name)).alias(
-                    "shape"
-                ),
-                F.coalesce(
-                    F.left(v["following"], F.length(v["following"]) - 1), F.lit("")
-                ).alias("args"),
-            )
-
-        return of
-
-    return _let(raw, lambda steps: F.transform(steps, facts(steps)))
-
-
-def _no_calls() -> Column:
-    return F.array().cast(f"array<{CALL_TYPE}>")
-
-
-def _brace_fold(steps: Column) -> Column:
-    """Fold over the pieces of a brace language.
-
-    ``opened`` is the stack of open brackets (kind, text before it, statement
-    start); ``functions`` the stack of open functions with the calls seen in
-    each; ``waiting`` the calls of the current statement, which belong to a
-    function that the statement may turn out to open; ``units`` the finished
-    functions; ``loose`` the calls outside any function.
-    """
-    opened_type = "array<struct<kind:string,head:string,line:int,column:int>>"
-    functions_type = (
-        f"array<struct<start_line:int,start_column:int,calls:array<{CALL_TYPE}>>>"
-    )
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(0).alias("column"),
-        F.lit(1).alias("at_line"),
-        F.lit(0).alias("at_column"),
-        F.lit(False).alias("keep"),
-        F.lit("").alias("last"),
-        F.lit("").alias("closed"),
-        F.array().cast(opened_type).alias("opened"),
-        F.array().cast(functions_type).alias("functions"),
-        _no_calls().alias("waiting"),
-        F.array().cast(f"array<{UNIT_TYPE}>").alias("units"),
-        _no_calls().alias("loose"),
+def _after(line: str, col: str, text: str) -> str:
+    """Position reached after some text."""
+    moved = _struct(
+        line=f"{line} + breaks",
+        col=f"if(breaks = 0, {col} + length({text}), length(substring_index({text}, '\\n', -1)))",
     )
+    return _let(_newlines(text), "breaks", moved, POSITION_TYPE)
 
-    def step(s: Column, e: Column) -> Column:
-        end = e["end"]
-        top = F.try_element_at(s["opened"], F.lit(-1))
-        outside = top.isNull() | (top["kind"] == "type")
-        begins = s["last"].isin("", ";", "{", "}") & ~s["keep"]
-        follows_parens = s["last"] == ")"
-        closed = F.when(follows_parens, s["closed"]).otherwise("")
-        is_function = (
-            (end == "{")
-            & follows_parens
-            & outside
-            & (s["closed"] != "")
-            & ~s["closed"].startswith("new ")
-            & ~s["closed"].isin(*CONTROL_HEADS)
-            & ~e["run"].contains("=")
-            & ~e["run"].rlike(TYPE_WORD)
-        )
-        is_type = (
-            (end == "{")
-            & ~e["run"].contains("=")
-            & ((follows_parens & s["closed"].startswith("new ")) | e["run"].rlike(TYPE_WORD))
-        )
-        last_brace = F.array_max(
-            F.transform(s["opened"], lambda o, i: F.when(o["kind"] != "(", i + 1))
-        )
-        # an unmatched parenthesis never outlives the braces around it
-        popped_to = (
-            F.when(top["kind"] != "(", F.size(s["opened"])).otherwise(last_brace)
-        )
-        facts = F.struct(
-            is_function.alias("function"),
-            F.when(end == "{", F.when(is_function, "function").when(is_type, "type").otherwise("block"))
-            .otherwise("(")
-            .alias("kind"),
-            F.when(end == "}", popped_to).when(
-                (end == ")") & (top["kind"] == "("), F.size(s["opened"])
-            ).alias("pop"),
-            F.when(
-                (end == "(") & follows_parens & (e["run"].rlike(r"^\s*$") | e["head"].isin(*TRANSPARENT_HEADS)),
-                s["closed"],
-            ).otherwise(e["head"]).alias("head"),
-            F.when(begins, _after(s["line"], s["column"], F.regexp_extract(e["run"], BEFORE_FUNCTION, 0))).otherwise(
-                F.struct(s["at_line"].alias("line"), s["at_column"].alias("column"))
-            ).alias("at"),
-            _after(s["line"], s["column"], e["text"]).alias("next"),
-            # a typed prefix where only declarations stand is a declaration
-            F.when(
-                e["shape"].isNotNull()
-                & ~(
-                    outside
-                    & begins
-                    & (e["shape"]["before"] != "")
-                    & ~e["run"].contains("=")
-                    & ~e["shape"]["before"].rlike(r"(?:\.|->)$|^::$")
-                    & ~e["shape"]["word"].isin("new", *WORDS_BEFORE_CALL["brace"])
-                ),
-                _form(e["shape"], closed, "brace"),
-            ).alias("call"),
-        )
-        return _let(facts, lambda f: advance(s, e, f))
-
-    def advance(s: Column, e: Column, f: Column) -> Column:
-        end = e["end"]
-        here = _after(s["line"], s["column"], e["shape"]["up_to_name"])
-        found = (
-            F.when(
-                f["call"]["form"].isNotNull(),
-                F.struct(
-                    here["line"].alias("line"),
-                    (here["column"] + 1).cast("int").alias("start_column"),
-                    e["shape"]["name"].alias("name"),
-                    f["call"]["form"].alias("form"),
-                    f["call"]["target"].alias("target"),
-                    e["args"].alias("args"),
-                ),
-            )
-            .when(
-                (end == "delete") & ~e["run"].rlike(r"(?:=|operator)\s*$"),
-                F.struct(
-                    f["next"]["line"].alias("line"),
-                    (f["next"]["column"] - 5).cast("int").alias("start_column"),
-                    F.lit("delete").alias("name"),
-                    F.lit("keyword").alias("form"),
-                    F.lit("").alias("target"),
-                    F.lit("").alias("args"),
-                ),
-            )
+
+def _squeeze(text: str) -> str:
+    return f"translate({text}, ' \\t\\n\\r\\f\\u000B', '')"
+
+
+LAST_NAME = (
+    f"if(chain rlike '[.:>]', regexp_extract(chain, {_text(NAME + '+$')}, 0), chain)"
 )
-        closes = f["pop"].isNotNull()
-        gone = F.try_element_at(s["opened"], f["pop"])
-        opened = (
-            F.when(
-                end.isin("(", "{"),
-                F.concat(
-                    s["opened"],
-                    F.array(
-                        F.struct(
-                            f["kind"].alias("kind"),
-                            f["head"].alias("head"),
-                            f["at"]["line"].alias("line"),
-                            f["at"]["column"].alias("column"),
-                        )
-                    ),
-                ),
-            )
-            .when(closes, F.slice(s["opened"], 1, f["pop"] - 1))
-            .otherwise(s["opened"])
-        )
-        waiting = F.when(
-            found.isNotNull(), F.concat(s["waiting"], F.array(found))
-        ).otherwise(s["waiting"])
-        flush = end.isin(";", "{", "}") & (F.size(s["waiting"]) > 0)
-        depth = F.size(s["functions"])
-        current = F.try_element_at(s["functions"], F.lit(-1))
-        ended = closes & (gone["kind"] == "function")
-
-        def with_calls(function: Column, calls: Column) -> Column:
-            return F.struct(
-                function["start_line"].alias("start_line"),
-                function["start_column"].alias("start_column"),
-                F.concat(function["calls"], calls).alias("calls"),
-            )
-
-        opening = F.struct(
-            f["at"]["line"].alias("start_line"),
-            f["at"]["column"].alias("start_column"),
-            s["waiting"].alias("calls"),
-        )
-        functions = (
-            F.when(f["function"], F.concat(s["functions"], F.array(opening)))
-            .when(ended, F.slice(s["functions"], 1, depth - 1))
-            .when(
-                flush & (depth > 0),
-                F.concat(
-                    F.slice(s["functions"], 1, F.greatest(depth - 1, F.lit(0))),
-                    F.array(with_calls(current, s["waiting"])),
-                ),
-            )
-            .otherwise(s["functions"])
-        )
-        units = F.when(
-            ended,
-            F.concat(
-                s["units"],
-                F.array(
-                    F.struct(
-                        current["start_line"].alias("start_line"),
-                        current["start_column"].alias("start_column"),
-                        f["next"]["line"].alias("end_line"),
-                        f["next"]["column"].alias("end_column"),
-                        F.concat(current["calls"], s["waiting"]).alias("calls"),
-                    )
-                ),
-            ),
-        ).otherwise(s["units"])
-        loose = F.when(
-            flush & ~f["function"] & (depth == 0), F.concat(s["loose"], s["waiting"])
-        ).otherwise(s["loose"])
-        under = F.try_element_at(opened, F.lit(-1))
-        keep = (end == "}") & (under["kind"] == "(")
-        return F.struct(
-            f["next"]["line"].alias("line"),
-            f["next"]["column"].alias("column"),
-            F.when(keep, gone["line"]).otherwise(f["at"]["line"]).alias("at_line"),
-            F.when(keep, gone["column"]).otherwise(f["at"]["column"]).alias("at_column"),
-            F.coalesce(keep, F.lit(False)).alias("keep"),
-            end.alias("last"),
-            F.when(end == ")", F.coalesce(gone["head"], F.lit(""))).otherwise("").alias("closed"),
-            opened.alias("opened"),
-            functions.alias("functions"),
-            F.when(end.isin(";", "{", "}"), _no_calls()).otherwise(waiting).alias("waiting"),
-            units.alias("units"),
-            loose.alias("loose"),
-        )
 
-    def finish(s: Column) -> Column:
-        unclosed = F.flatten(F.transform(s["functions"], lambda f: f["calls"]))
-        return F.struct(
-            s["units"].alias("units"),
-            F.concat(s["loose"], unclosed, s["waiting"]).alias("loose"),
-        )
+# what the text before an opening bracket says about a call
+_SHAPE = _let(
+    f"regexp_replace(regexp_replace(run, {_text(CHAIN + r'\s*$')}, ''), {_text(r'\s+$')}, '')",
+    "before",
+    _struct(
+        name="name",
+        before="before",
+        word=f"regexp_extract(before, {_text(rf'(?<!{NAME}){NAME}++$')}, 0)",
+        link=f"regexp_extract(chain, {_text(rf'(\.|->|::)\s*{NAME}+$')}, 1)",
+        scope=f"regexp_replace({_squeeze(f'regexp_replace(chain, {_text(NAME + "+$")}, {_text("")})')},"
+        f" {_text(r'(?:\.|->|::)$')}, '')",
+        up_to_name=f"regexp_replace(run, {_text(NAME + r'+\s*$')}, '')",
+    ),
+    SHAPE_TYPE,
+)
+
+
+def _form(family: str, closed: str) -> str:
+    """(form, target) of the call in ``e.shape``; no form means no call."""
+    declared = "h.word in ('def', 'class')"
+    if family == "brace":
+        declared = f"h.word <> '' and not {_any('h.word', WORDS_BEFORE_CALL)}"
+    is_new = "h.word = 'new' and h.link <> '::'" if family == "brace" else "false"
+    form = f"""
+case when {_any('h.name', NOT_CALLED[family])} then null
+     when dotted or h.link in ('.', '->') then 'member'
+     when {is_new} then 'new'
+     when {declared} or endswith(h.before, '@') then null
+     when scoped or h.link = '::' then 'scoped'
+     else 'call' end"""
+    target = f"""
+case when dotted and h.scope = ''
+       then if(h.before in ('.', '->') and {closed} <> '', concat({closed}, '()'), '?')
+     when dotted then concat('?.', h.scope)
+     when scoped and h.scope = '' then if(h.before = '::', '', '?')
+     when scoped then concat('::', h.scope)
+     else h.scope end"""
+    return _lets(
+        {
+            "h": "e.shape",
+            "dotted": f"h.before rlike {_text(r'(?:\.|->)$')}",
+            "scoped": "endswith(h.before, '::')",
+        },
+        _struct(form=form, target=target),
+        FORM_TYPE,
+    )
+
 
-    return F.aggregate(steps, start, step, finish)
+def _hit(names: dict[str, str] | None) -> str:
+    """Whether a called name is wanted in its language."""
+    if names is None:
+        return "name <> ''"
+    tests = {lang: f"name rlike {_text(pattern)}" for lang, pattern in names.items()}
+    return f"name <> '' and {_by_language(tests, 'false')}"
 
 
-def _indent(text: Column) -> Column:
-    return F.length(
-        F.replace(F.regexp_extract(text, r"^[ \t\f]*", 0), F.lit("\t"), F.lit(" " * 8))
+def _brace_steps(masked: str, names: dict[str, str] | None) -> str:
+    """Stateless facts about each piece, computed once."""
+    cut = _by_language(
+        {"cpp": f"regexp_extract_all(masked, {_text(STEPS['cpp'])}, 0)"},
+        f"regexp_extract_all(masked, {_text(STEPS['c'])}, 0)",
+    )
+    creates = rf"\b(?:new|record)\s+{CHAIN}"
+    head = f"""
+case when ends <> '(' then ''
+     when chain = '' then if(run rlike {_text(r'\boperator\s*[^\w\s]{1,3}\s*$')}, 'operator', '')
+     when (contains(run, 'new') or contains(run, 'record')) and run rlike {_text(creates)}
+       then concat('new ', {_squeeze('chain')})
+     else {_squeeze('chain')} end"""
+    facts = _struct(
+        ends="ends",
+        text="t",
+        run="run",
+        head=head,
+        shape=f"if({_hit(names)}, {_SHAPE}, null)",
+        args="if(ends = '(', coalesce(left(get(steps, i + 1), length(get(steps, i + 1)) - 1), ''), '')",
+    )
+    bound = _lets(
+        {
+            "ends": "if(right(t, 1) = 'e', 'delete', right(t, 1))",
+            "run": "left(t, length(t) - length(ends))",
+            "chain": f"if(ends = '(', regexp_extract(run, {_text(CHAIN)}, 0), '')",
+            "name": LAST_NAME,
+        },
+        facts,
+        BRACE_STEP_TYPE,
+    )
+    return _lets(
+        {"masked": masked, "steps": cut},
+        f"transform(steps, (t, i) -> {bound})",
+        f"array<{BRACE_STEP_TYPE}>",
     )
 
 
-def _python_steps(masked: Column, names: str | None) -> Column:
-    text = F.concat(masked, F.lit("\n"))  # one empty line more changes no extent
-    raw = F.regexp_extract_all(text, F.lit(STEPS["python"]), F.lit(0))
-
-    def facts(step: Column) -> Column:
-        end = F.right(step, F.lit(1))
-        run = F.left(step, F.length(step) - 1)
-        opening = F.when(end == "(", run)
-        return _let(
-            F.struct(
-                end.alias("end"),
-                run.alias("run"),
-                F.regexp_extract(opening, CHAIN, 0).alias("chain"),
-            ),
-            lambda v: _let(
-                F.struct(v.alias("v"), _last_name(v["chain"]).alias("name")),
-                lambda w: detail(w["v"], w["name"]),
-            ),
-        )
+# State of the fold over a brace language.  ``opened`` is the stack of open
+# brackets (kind, text before it, statement start); ``functions`` the stack of
+# open functions with the calls seen in each; ``waiting`` the calls of the
+# current statement, which belong to a function the statement may turn out to
+# open; ``units`` the finished functions; ``loose`` the calls outside any.
+_BRACE_START = _struct(
+    line="1",
+    col="0",
+    at_line="1",
+    at_col="0",
+    keep="false",
+    last="''",
+    closed="''",
+    opened=f"cast(array() as array<{OPENED_TYPE}>)",
+    functions="cast(array() as array<struct<start_line:int,start_column:int,"
+    f"calls:array<{CALL_TYPE}>>>)",
+    waiting=NO_CALLS,
+    units=NO_UNITS,
+    loose=NO_CALLS,
+)
 
-    def detail(v: Column, name: Column) -> Column:
-        run = v["run"]
-        return F.struct(
-            v["end"].alias("end"),
-            run.alias("run"),
-            F.length(run).alias("size"),
-            F.length(F.regexp_replace(run, r"\s+$", "")).alias("used"),
-            F.when((name != "") & _is_hit(name, names), _call_shape(run, v["chain"], name)).alias(
-                "shape"
-            ),
-        )
+_OPENS_FUNCTION = f"""
+e.ends = '{{' and s.last = ')' and outside and s.closed <> ''
+and not startswith(s.closed, 'new ') and not {_any('s.closed', CONTROL_HEADS)}
+and not contains(e.run, '=') and not e.run rlike {_text(TYPE_WORD)}"""
+
+_OPENS_TYPE = f"""
+not contains(e.run, '=')
+and ((s.last = ')' and startswith(s.closed, 'new ')) or e.run rlike {_text(TYPE_WORD)})"""
+
+# a typed prefix where only declarations stand is a declaration
+_DECLARES = f"""
+outside and begins and e.shape.before <> '' and not contains(e.run, '=')
+and not e.shape.before rlike {_text(r'(?:\.|->)$|^::$')}
+and not {_any('e.shape.word', ['new', *WORDS_BEFORE_CALL])}"""
+
+# an unmatched parenthesis never outlives the braces around it
+_POP = """
+case when e.ends = ')' then if(top.kind = '(', size(s.opened), null)
+     when e.ends <> '}' then null
+     when top.kind <> '(' then size(s.opened)
+     else array_max(transform(s.opened, (o, i) -> if(o.kind <> '(', i + 1, null))) end"""
+
+_FOUND = f"""
+case when call.form is not null then {_let(
+    _after("s.line", "s.col", "e.shape.up_to_name"),
+    "here",
+    _struct(
+        line="here.line",
+        start_column="here.col + 1",
+        name="e.shape.name",
+        form="call.form",
+        target="call.target",
+        args="e.args",
+    ),
+    CALL_TYPE,
+)}
+     when e.ends = 'delete' and not e.run rlike {_text(r'(?:=|operator)\s*$')} then {_struct(
+    line="next.line",
+    start_column="next.col - 5",
+    name="'delete'",
+    form="'keyword'",
+    target="''",
+    args="''",
+)} end"""
+
+_CALL = (
+    f"if(e.shape is null or ({_DECLARES}), null, "
+    + _form("brace", "if(s.last = ')', s.closed, '')")
+    + ")"
+)
+_AT = (
+    "if(begins, "
+    + _after("s.line", "s.col", f"regexp_extract(e.run, {_text(BEFORE_FUNCTION)}, 0)")
+    + ", named_struct('line', s.at_line, 'col', s.at_col))"
+)
+_GONE = "if(pop is null, null, try_element_at(s.opened, pop))"
+_BEFORE_GONE = "try_element_at(s.opened, nullif(pop - 1, 0))"
+
+_BRACE_FACTS = _lets(
+    {
+        "top": "try_element_at(s.opened, -1)",
+        "outside": "top is null or top.kind = 'type'",
+        "begins": "s.last in ('', ';', '{', '}') and not s.keep",
+        "opens": _OPENS_FUNCTION,
+        "pop": _POP,
+        "next": _after("s.line", "s.col", "e.text"),
+        "call": _CALL,
+    },
+    _struct(
+        kind="case when e.ends = '(' then '(' when opens then 'function'"
+        f" when e.ends = '{{' and {_OPENS_TYPE} then 'type' else 'block' end",
+        opens="opens",
+        pop="pop",
+        head="if(e.ends = '(' and s.last = ')'"
+        f" and ({_any('e.head', TRANSPARENT_HEADS)} or e.run rlike {_text(r'^\s*$')}),"
+        " s.closed, e.head)",
+        at=_AT,
+        next="next",
+        gone=_GONE,
+        finished=f"coalesce({_GONE}.kind = 'function', false)",
+        keep=f"e.ends = '}}' and coalesce({_BEFORE_GONE}.kind = '(', false)",
+        found=_FOUND,
+    ),
+    BRACE_FACTS_TYPE,
+)
+
+_CURRENT = "try_element_at(s.functions, -1)"
+_OUTER = "slice(s.functions, 1, greatest(size(s.functions) - 1, 0))"
+_FLUSH = "e.ends in (';', '{', '}') and size(s.waiting) > 0"
+
+_BRACE_NEXT = _struct(
+    line="f.next.line",
+    col="f.next.col",
+    at_line="if(f.keep, f.gone.line, f.at.line)",
+    at_col="if(f.keep, f.gone.col, f.at.col)",
+    keep="f.keep",
+    last="e.ends",
+    closed="if(e.ends = ')', coalesce(f.gone.head, ''), '')",
+    opened=f"""
+case when e.ends in ('(', '{{') then concat(s.opened, array({_struct(
+    kind="f.kind", head="f.head", line="f.at.line", col="f.at.col"
+)}))
+     when f.pop is not null then slice(s.opened, 1, f.pop - 1)
+     else s.opened end""",
+    functions=f"""
+case when f.opens then concat(s.functions, array({_struct(
+    start_line="f.at.line", start_column="f.at.col", calls="s.waiting"
+)}))
+     when f.finished then {_OUTER}
+     when {_FLUSH} and size(s.functions) > 0 then concat({_OUTER}, array({_struct(
+    start_line=f"{_CURRENT}.start_line",
+    start_column=f"{_CURRENT}.start_column",
+    calls=f"concat({_CURRENT}.calls, s.waiting)",
+)}))
+     else s.functions end""",
+    waiting=f"""
+case when e.ends in (';', '{{', '}}') then {NO_CALLS}
+     when f.found is not null then concat(s.waiting, array(f.found))
+     else s.waiting end""",
+    units=f"""
+if(f.finished, concat(s.units, array({_struct(
+    start_line=f"{_CURRENT}.start_line",
+    start_column=f"{_CURRENT}.start_column",
+    end_line="f.next.line",
+    end_column="f.next.col",
+    calls=f"concat({_CURRENT}.calls, s.waiting)",
+)})), s.units)""",
+    loose=f"if({_FLUSH} and not f.opens and size(s.functions) = 0,"
+    " concat(s.loose, s.waiting), s.loose)",
+)
 
-    return F.transform(raw, facts)
+_BRACE_STEP = _then(_BRACE_FACTS, _BRACE_NEXT)
+
+_BRACE_END = _struct(
+    units="s.units",
+    loose="concat(s.loose, flatten(transform(s.functions, u -> u.calls)), s.waiting)",
+)
 
 
-def _python_fold(steps: Column) -> Column:
-    """Fold over the pieces of a Python file.  A function ends with the last
-    code before a logical line that is indented no deeper than its ``def``."""
-    functions_type = (
-        f"array<struct<indent:int,start_line:int,start_column:int,calls:array<{CALL_TYPE}>>>"
+def _python_steps(masked: str, names: dict[str, str] | None) -> str:
+    facts = _struct(
+        ends="right(t, 1)",
+        run="run",
+        used=f"length(regexp_replace(run, {_text(r'\s+$')}, ''))",
+        shape=f"if({_hit(names)}, {_SHAPE}, null)",
     )
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(0).alias("column"),
-        F.lit(0).alias("depth"),
-        F.lit(True).alias("begins"),
-        F.lit(1).alias("end_line"),
-        F.lit(0).alias("end_column"),
-        F.array().cast(functions_type).alias("functions"),
-        F.array().cast(f"array<{UNIT_TYPE}>").alias("units"),
-        _no_calls().alias("loose"),
+    bound = _lets(
+        {
+            "run": "left(t, length(t) - 1)",
+            "chain": f"if(right(t, 1) = '(', regexp_extract(run, {_text(CHAIN)}, 0), '')",
+            "name": LAST_NAME,
+        },
+        facts,
+        PYTHON_STEP_TYPE,
     )
+    # the line added at the end changes no extent
+    cut = f"regexp_extract_all(concat({masked}, '\\n'), {_text(STEPS['python'])}, 0)"
+    return f"transform({cut}, t -> {bound})"
+
+
+# State of the fold over Python.  A function ends with the last code before a
+# logical line that is indented no deeper than its ``def``.
+_PYTHON_START = _struct(
+    line="1",
+    col="0",
+    depth="0",
+    begins="true",
+    end_line="1",
+    end_col="0",
+    functions="cast(array() as array<struct<indent:int,start_line:int,start_column:int,"
+    f"calls:array<{CALL_TYPE}>>>)",
+    units=NO_UNITS,
+    loose=NO_CALLS,
+)
 
-    def closed_units(functions: Column, end_line: Column, end_column: Column) -> Column:
-        return F.transform(
-            functions,
-            lambda f: F.struct(
-                f["start_line"].alias("start_line"),
-                f["start_column"].alias("start_column"),
-                end_line.alias("end_line"),
-                end_column.alias("end_column"),
-                f["calls"].alias("calls"),
-            ),
-        )
 
-    def step(s: Column, e: Column) -> Column:
-        is_code = (e["used"] > 0) | (e["end"] != "\n")
-        begins = s["begins"] & is_code & ~e["run"].startswith(FILLER)
-        return _let(
-            F.struct(
-                is_code.alias("is_code"),
-                begins.alias("begins"),
-                F.when(begins, _indent(e["run"])).alias("indent"),
-            ),
-            lambda line: enter(s, e, line),
-        )
+def _ended(functions: str) -> str:
+    unit = _struct(
+        start_line="u.start_line",
+        start_column="u.start_column",
+        end_line="s.end_line",
+        end_column="s.end_col",
+        calls="u.calls",
+    )
+    return f"transform({functions}, u -> {unit})"
 
-    def enter(s: Column, e: Column, line: Column) -> Column:
-        indent = line["indent"]
-        ends = line["begins"] & F.exists(s["functions"], lambda f: f["indent"] >= indent)
-        still_open = F.filter(s["functions"], lambda f: f["indent"] < indent)
-        done = F.filter(s["functions"], lambda f: f["indent"] >= indent)
-        facts = F.struct(
-            line["is_code"].alias("is_code"),
-            indent.alias("indent"),
-            F.when(ends, still_open).otherwise(s["functions"]).alias("functions"),
-            F.when(
-                ends, F.concat(s["units"], closed_units(done, s["end_line"], s["end_column"]))
-            ).otherwise(s["units"]).alias("units"),
-            (line["begins"] & e["run"].rlike(r"^\s*(?:async\s+)?def\s")).alias("defines"),
-            F.when(e["shape"].isNotNull(), _form(e["shape"], F.lit(""), "python")).alias("call"),
-        )
-        return _let(facts, lambda f: advance(s, e, f))
-
-    def advance(s: Column, e: Column, f: Column) -> Column:
-        end = e["end"]
-        opened = F.when(
-            f["defines"],
-            F.concat(
-                f["functions"],
-                F.array(
-                    F.struct(
-                        f["indent"].alias("indent"),
-                        s["line"].alias("start_line"),
-                        F.length(F.regexp_extract(e["run"], r"^\s*", 0)).alias("start_column"),
-                        _no_calls().alias("calls"),
-                    )
-                ),
-            ),
-        ).otherwise(f["functions"])
-        found = F.when(
-            f["call"]["form"].isNotNull(),
-            F.struct(
-                s["line"].alias("line"),
-                (s["column"] + F.length(e["shape"]["up_to_name"]) + 1)
-                .cast("int")
-                .alias("start_column"),
-                e["shape"]["name"].alias("name"),
-                f["call"]["form"].alias("form"),
-                f["call"]["target"].alias("target"),
-                F.lit("").alias("args"),
-            ),
-        )
-        depth = F.size(opened)
-        current = F.try_element_at(opened, F.lit(-1))
-        held = F.when(
-            found.isNotNull() & (depth > 0),
-            F.concat(
-                F.slice(opened, 1, F.greatest(depth - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        current["indent"].alias("indent"),
-                        current["start_line"].alias("start_line"),
-                        current["start_column"].alias("start_column"),
-                        F.concat(current["calls"], F.array(found)).alias("calls"),
-                    )
-                ),
-            ),
-        ).otherwise(opened)
-        newline = end == "\n"
-        nesting = (
-            F.when(end.isin("(", "[", "{"), s["depth"] + 1)
-            .when(end.isin(")", "]", "}"), F.greatest(s["depth"] - 1, F.lit(0)))
-            .otherwise(s["depth"])
-        )
-        return F.struct(
-            F.when(newline, s["line"] + 1).otherwise(s["line"]).alias("line"),
-            F.when(newline, 0)
-            .otherwise(s["column"] + e["size"] + 1)
-            .cast("int")
-            .alias("column"),
-            nesting.cast("int").alias("depth"),
-            (newline & (s["depth"] == 0) & ~e["run"].endswith("\\")).alias("begins"),
-            F.when(f["is_code"], s["line"]).otherwise(s["end_line"]).alias("end_line"),
-            F.when(~f["is_code"], s["end_column"])
-            .when(newline, s["column"] + e["used"])
-            .otherwise(s["column"] + e["size"] + 1)
-            .cast("int")
-            .alias("end_column"),
-            held.alias("functions"),
-            f["units"].alias("units"),
-            F.when(found.isNotNull() & (depth == 0), F.concat(s["loose"], F.array(found)))
-            .otherwise(s["loose"])
-            .alias("loose"),
-        )
 
-    def finish(s: Column) -> Column:
-        return F.struct(
-            F.concat(
-                s["units"], closed_units(s["functions"], s["end_line"], s["end_column"])
-            ).alias("units"),
-            s["loose"].alias("loose"),
-        )
+_INDENT = (
+    f"length(replace(regexp_extract(e.run, {_text(r'^[ \t\f]*')}, 0), '\\t', '        '))"
+)
+_PYTHON_FOUND = "if(call.form is null, null, " + _struct(
+    line="s.line",
+    start_column="s.col + length(e.shape.up_to_name) + 1",
+    name="e.shape.name",
+    form="call.form",
+    target="call.target",
+    args="''",
+) + ")"
+_PYTHON_FACTS = _lets(
+    {
+        "is_code": "e.used > 0 or e.ends <> '\\n'",
+        "begins": f"s.begins and is_code and not startswith(e.run, '{FILLER}')",
+        "indent": f"if(begins, {_INDENT}, null)",
+        "call": f"if(e.shape is null, null, {_form('python', _text(''))})",
+    },
+    _struct(
+        is_code="is_code",
+        indent="indent",
+        # deeper functions were opened later, so those left are the first ones
+        left="if(begins, size(filter(s.functions, u -> u.indent < indent)), size(s.functions))",
+        defines=f"begins and e.run rlike {_text(r'^\s*(?:async\s+)?def\s')}",
+        found=_PYTHON_FOUND,
+    ),
+    PYTHON_FACTS_TYPE,
+)
+_HERE = "try_element_at(s.functions, nullif(f.left, 0))"
+_LEFT = "if(f.left = size(s.functions), s.functions, slice(s.functions, 1, f.left))"
+_PYTHON_NEXT = _struct(
+    line="if(e.ends = '\\n', s.line + 1, s.line)",
+    col="if(e.ends = '\\n', 0, s.col + length(e.run) + 1)",
+    depth="""
+case when e.ends in ('(', '[', '{') then s.depth + 1
+     when e.ends = '\\n' then s.depth
+     else greatest(s.depth - 1, 0) end""",
+    begins="e.ends = '\\n' and s.depth = 0 and not endswith(e.run, '\\\\')",
+    end_line="if(f.is_code, s.line, s.end_line)",
+    end_col="""
+case when not f.is_code then s.end_col
+     when e.ends = '\\n' then s.col + e.used
+     else s.col + length(e.run) + 1 end""",
+    functions=f"""
+case when f.defines then concat({_LEFT}, array({_struct(
+    indent="f.indent",
+    start_line="s.line",
+    start_column=f"length(regexp_extract(e.run, {_text(r'^\s*')}, 0))",
+    calls=NO_CALLS,
+)}))
+     when f.found is not null and f.left > 0 then concat(slice(s.functions, 1, f.left - 1), array({
+    _struct(
+        indent=f"{_HERE}.indent",
+        start_line=f"{_HERE}.start_line",
+        start_column=f"{_HERE}.start_column",
+        calls=f"concat({_HERE}.calls, array(f.found))",
+    )}))
+     else {_LEFT} end""",
+    units="if(f.left = size(s.functions), s.units, concat(s.units, "
+    + _ended("slice(s.functions, f.left + 1, size(s.functions) - f.left)")
+    + "))",
+    loose="if(f.found is null or f.left > 0, s.loose, concat(s.loose, array(f.found)))",
+)
+_PYTHON_STEP = _then(_PYTHON_FACTS, _PYTHON_NEXT)
+_PYTHON_END = _struct(
+    units=f"concat(s.units, {_ended('s.functions')})",
+    loose="s.loose",
+)
 
-    return F.aggregate(steps, start, step, finish)
 
+def _fold(steps: str, start: str, step: str, end: str) -> str:
+    return f"aggregate({steps}, {start}, (s, e) -> {step}, s -> {end})"
 
-def scan_code(code: Column, lang: str, names: str | None = None) -> Column:
+
+def scan_code(names: dict[str, str] | None = None, langs: tuple[str, ...] = LANGUAGES) -> Column:
     """Struct of ``units`` (functions with their extent and calls) and
-    ``loose`` (calls outside functions) of one language's code.
+    ``loose`` (calls outside functions), from the columns ``code`` and ``lang``.
 
-    ``names`` keeps only calls whose name matches; by default all are kept.
+    ``names`` keeps only the calls whose name matches the pattern of their
+    language; by default all are kept.
     """
-    masked = mask(code, lang)
-    if lang == "python":
-        return _python_fold(_python_steps(masked, names))
-    return _brace_fold(_brace_steps(masked, lang, names))
+    scans = {}
+    braced = [lang for lang in BRACE_LANGUAGES if lang in langs]
+    if braced:
+        masked = _by_language({lang: _mask("code", lang) for lang in braced}, "null")
+        fold = _fold(_brace_steps(masked, names), _BRACE_START, _BRACE_STEP, _BRACE_END)
+        scans.update({"brace": f"when {_any('lang', braced)} then {fold}"})
+    if "python" in langs:
+        steps = _python_steps(_mask("code", "python"), names)
+        fold = _fold(steps, _PYTHON_START, _PYTHON_STEP, _PYTHON_END)
+        scans.update({"python": f"when lang = 'python' then {fold}"})
+    return F.expr(f"case {' '.join(scans.values())} end")
 
 
 def extent(lines: Column, unit: Column) -> Column:

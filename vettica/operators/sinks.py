@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vettica.functions.languages import rule_language
-from vettica.functions.sink_rules import SINK_RULES, SinkRule, matching_rules, name_filter
+from vettica.functions.sink_rules import SINK_RULES, SinkRule, matching_rules, name_filter, text_filter
 from vettica.functions.text import bytes_as_chars, chars_as_text, strip
-from vettica.operators.code_scan import PIECES, UNIT_TYPE, extent, scan_code
-
-LANGUAGES = tuple(PIECES)
+from vettica.operators.code_scan import LANGUAGES, extent, scan_code
 
 
 def with_language(corpus: DataFrame) -> DataFrame:
@@ -21,29 +19,27 @@ def with_language(corpus: DataFrame) -> DataFrame:
 
 
 def _scanned(corpus: DataFrame, rules: tuple[SinkRule, ...] | None) -> DataFrame:
-    """(path, lang, code, scan): each file with its functions and calls."""
+    """(path, code, lang, scan): each file with its functions and calls.
+
+    Files that hold no name any rule of their language asks for are dropped by
+    a plain search of their text before they are cut up.
+    """
     files = with_language(corpus.select("path", "text"))
+    names, langs = None, LANGUAGES
     if rules is not None:
+        names = {lang: name_filter(rules, lang) for lang in LANGUAGES}
+        names = {lang: pattern for lang, pattern in names.items() if pattern}
+        langs = tuple(names)
+        if not names:
+            raise ValueError("no rule is for a language that can be scanned")
         can_hit = F.lit(False)
-        for lang in LANGUAGES:
-            names = name_filter(rules, lang)
-            if names:
-                can_hit = can_hit | ((F.col("lang") == lang) & F.col("text").rlike(_loosened(names)))
+        for lang in langs:
+            pattern = text_filter(rules, lang)
+            can_hit = can_hit | ((F.col("lang") == lang) & F.col("text").rlike(pattern))
         files = files.filter(can_hit)
-    files = files.select("path", "lang", bytes_as_chars(F.col("text")).alias("code"))
-    scan = None
-    for lang in LANGUAGES:
-        names = None if rules is None else (name_filter(rules, lang) or r"(?!)")
-        found = scan_code(F.col("code"), lang, names)
-        scan = F.when(F.col("lang") == lang, found) if scan is None else scan.when(
-            F.col("lang") == lang, found
-        )
-    return files.select("path", "lang", "code", scan.alias("scan"))
-
-
-def _loosened(names: str) -> str:
-    """The name patterns without their edges, to be searched in whole files."""
-    return names.replace("^", "").replace("$)", ")").replace("$|", "|").replace("()", "")
+    return files.select("path", "lang", bytes_as_chars(F.col("text")).alias("code")).select(
+        "path", "lang", "code", scan_code(names, langs).alias("scan")
+    )
 
 
 def _units(scanned: DataFrame) -> DataFrame:
