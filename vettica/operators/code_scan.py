@@ -238,7 +238,10 @@ case when {_any('h.name', NOT_CALLED[family])} then null
 case when dotted and h.scope = ''
        then if(h.before in ('.', '->') and {closed} <> '', concat({closed}, '()'), '?')
      when dotted then concat('?.', h.scope)
-     when scoped and h.scope = '' then if(h.before = '::', '', '?')
+     when scoped and h.scope = '' then case
+       when h.before rlike {_text(r'::\s*\w+\s*<[^<>]*>\s*::$')} then '?::?'
+       when h.before rlike {_text(r'>\s*::$')} then '?'
+       else '' end
      when scoped then concat('::', h.scope)
      else h.scope end"""
     return _lets(
