@@ -141,13 +141,13 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def length_scorer() -> verify.Scorer:
-    """Stands in for loading a model."""
+def _score_batches(spark: SparkSession, folder: str) -> DataFrame:
+    # defined here so that it travels to the workers by value
+    def load_scorer() -> verify.Scorer:
+        """Stands in for loading a model."""
+        return lambda snippets, langs: [len(snippet) % 997 / 997 for snippet in snippets]
 
-    def score(snippets, langs):
-        return [len(snippet) % 997 / 997 for snippet in snippets]
-
-    return score
+    return verify.score_batches(candidates(spark, folder), load_scorer)
 
 
 def _softmax(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,7 +270,7 @@ def queries() -> dict[str, Query]:
         "route_ml": lambda s, d: verify.route_ml(routed(s, d)).select(
             "candidate_id", "lang", "supported", "route"
         ),
-        "score_batches": lambda s, d: verify.score_batches(candidates(s, d), length_scorer),
+        "score_batches": _score_batches,
         "softmax_prob": _softmax,
         "classify": _project(
             verified, "candidate_id", "lang", "ml_verified", "confidence", "label", "status"
