@@ -52,11 +52,15 @@ PIECES = {
     "python": rf"[^#\"']+|#[^\n]*|{LONG_QUOTED}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[\s\S]",
 }
 
+# a step ends with a structural character, or with a pair of brackets that
+# holds none
 STEPS = {
-    "c": r"[^(){};]*[(){};]",
-    "java": r"[^(){};]*[(){};]",
-    "cpp": r"[^(){};]*?(?:\bdelete\b|[(){};])",
-    "python": r"[^()\[\]{}\n]*[()\[\]{}\n]",
+    "c": r"[^(){};]*(?:\([^(){};]*\)|[(){};])",
+    "java": r"[^(){};]*(?:\([^(){};]*\)|[(){};])",
+    "cpp": (
+        r"[^(){};]*?(?:\bdelete\b|\((?![^(){};]*\bdelete\b)[^(){};]*\)|[(){};])"
+    ),
+    "python": r"[^()\[\]{}\n]*(?:\([^()\[\]{}\n]*\)|[()\[\]{}\n])",
 }
 
 # Words that may stand directly before a called name, and words
@@ -94,22 +98,19 @@ UNIT_TYPE = (
     f"struct<start_line:int,start_column:int,end_line:int,end_column:int,calls:array<{CALL_TYPE}>>"
 )
 POSITION_TYPE = "struct<line:int,col:int>"
-OPENED_TYPE = "struct<kind:string,head:string,line:int,col:int>"
+OPENED_TYPE = f"struct<kind:string,head:string,at:{POSITION_TYPE}>"
 SHAPE_TYPE = (
-    "struct<name:string,before:string,word:string,link:string,scope:string,up_to_name:string>"
+    "struct<name:string,before:string,word:string,link:string,scope:string,up_to_name:string,"
+    "args:string>"
 )
 FORM_TYPE = "struct<form:string,target:string>"
-BRACE_STEP_TYPE = (
-    f"struct<ends:string,text:string,run:string,head:string,shape:{SHAPE_TYPE},args:string>"
-)
+BRACE_STEP_TYPE = f"struct<ends:string,text:string,run:string,head:string,shape:{SHAPE_TYPE}>"
 BRACE_FACTS_TYPE = (
-    f"struct<kind:string,opens:boolean,pop:int,head:string,at:{POSITION_TYPE},"
-    f"next:{POSITION_TYPE},gone:{OPENED_TYPE},finished:boolean,keep:boolean,found:{CALL_TYPE}>"
-)
-PYTHON_STEP_TYPE = f"struct<ends:string,run:string,used:int,shape:{SHAPE_TYPE}>"
-PYTHON_FACTS_TYPE = (
-    f"struct<is_code:boolean,indent:int,left:int,defines:boolean,found:{CALL_TYPE}>"
+    f"struct<kind:string,pop:int,at:{POSITION_TYPE},next:{POSITION_TYPE},finished:boolean,"
+    f"keep:boolean,found:{CALL_TYPE}>"
 )
+PYTHON_STEP_TYPE = f"struct<ends:string,text:string,run:string,shape:{SHAPE_TYPE}>"
+PYTHON_FACTS_TYPE = "struct<is_code:boolean,indent:int,left:int,defines:boolean,found:%s>" % CALL_TYPE
 NO_CALLS = f"cast(array() as array<{CALL_TYPE}>)"
 NO_UNITS = f"cast(array() as array<{UNIT_TYPE}>)"
 
@@ -216,6 +217,7 @@ _SHAPE = _let(
         scope=f"regexp_replace({_squeeze(f'regexp_replace(chain, {_text(NAME + "+$")}, {_text("")})')},"
         f" {_text(r'(?:\.|->|::)$')}, '')",
         up_to_name=f"regexp_replace(run, {_text(NAME + r'+\s*$')}, '')",
+        args="args",
     ),
     SHAPE_TYPE,
 )
@@ -264,54 +266,62 @@ def _hit(names: dict[str, str] | None) -> str:
 
 
 def _brace_steps(masked: str, names: dict[str, str] | None) -> str:
-    """Stateless facts about each piece, computed once."""
+    """Stateless facts about each step, computed once."""
     cut = _by_language(
         {"cpp": f"regexp_extract_all(masked, {_text(STEPS['cpp'])}, 0)"},
         f"regexp_extract_all(masked, {_text(STEPS['c'])}, 0)",
     )
     creates = rf"\b(?:new|record)\s+{CHAIN}"
     head = f"""
-case when ends <> '(' then ''
-     when chain = '' then if(run rlike {_text(r'\boperator\s*[^\w\s]{1,3}\s*$')}, 'operator', '')
+case when chain = '' then if(run rlike {_text(r'\boperator\s*[^\w\s]{1,3}\s*$')}, 'operator', '')
      when (contains(run, 'new') or contains(run, 'record')) and run rlike {_text(creates)}
        then concat('new ', {_squeeze('chain')})
      else {_squeeze('chain')} end"""
-    facts = _struct(
-        ends="ends",
-        text="t",
-        run="run",
-        head=head,
-        shape=f"if({_hit(names)}, {_SHAPE}, null)",
-        args="if(ends = '(', coalesce(left(get(steps, i + 1), length(get(steps, i + 1)) - 1), ''), '')",
+    # the text after the bracket up to the next structural character
+    args = (
+        "if(endswith(t, '('),"
+        f" coalesce(regexp_extract(get(steps, i + 1), {_text('^[^(){};]*')}, 0), ''),"
+        " substr(t, length(run) + 2, length(t) - length(run) - 2))"
     )
-    bound = _lets(
+    opening = _lets(
         {
-            "ends": "if(right(t, 1) = 'e', 'delete', right(t, 1))",
-            "run": "left(t, length(t) - length(ends))",
-            "chain": f"if(ends = '(', regexp_extract(run, {_text(CHAIN)}, 0), '')",
+            "run": "substring_index(t, '(', 1)",
+            "chain": f"regexp_extract(run, {_text(CHAIN)}, 0)",
             "name": LAST_NAME,
         },
-        facts,
+        _struct(
+            ends="if(endswith(t, '('), '(', 'pair')",
+            text="t",
+            run="run",
+            head=head,
+            shape=f"if({_hit(names)}, {_let(args, 'args', _SHAPE, SHAPE_TYPE)}, null)",
+        ),
         BRACE_STEP_TYPE,
     )
+    plain = _struct(
+        ends="if(endswith(t, 'e'), 'delete', right(t, 1))",
+        text="t",
+        run="if(endswith(t, 'e'), left(t, length(t) - 6), left(t, length(t) - 1))",
+        head="''",
+        shape="null",
+    )
     return _lets(
         {"masked": masked, "steps": cut},
-        f"transform(steps, (t, i) -> {bound})",
+        f"transform(steps, (t, i) -> if(contains(t, '('), {opening}, {plain}))",
         f"array<{BRACE_STEP_TYPE}>",
     )
 
 
-# State of the fold over a brace language.  ``opened`` is the stack of open
-# brackets (kind, text before it, statement start); ``functions`` the stack of
-# open functions with the calls seen in each; ``waiting`` the calls of the
-# current statement, which belong to a function the statement may turn out to
-# open; ``units`` the finished functions; ``loose`` the calls outside any.
+# State of the fold over a brace language.  ``here`` is the position reached,
+# ``at`` where the statement began, ``closed`` the text before the bracket that
+# was closed last; ``opened`` is the stack of open brackets; ``functions`` the
+# stack of open functions with the calls seen in each; ``waiting`` the calls of
+# the current statement, which belong to a function the statement may turn out
+# to open; ``units`` the finished functions; ``loose`` the calls outside any.
 _BRACE_START = _struct(
-    line="1",
-    col="0",
-    at_line="1",
-    at_col="0",
-    keep="false",
+    here="named_struct('line', 1, 'col', 0)",
+    at="named_struct('line', 1, 'col', 0)",
+    begins="true",
     last="''",
     closed="''",
     opened=f"cast(array() as array<{OPENED_TYPE}>)",
@@ -322,8 +332,11 @@ _BRACE_START = _struct(
     loose=NO_CALLS,
 )
 
+_TOP = "try_element_at(s.opened, -1)"
+_OUTSIDE = f"(size(s.opened) = 0 or {_TOP}.kind = 'type')"
+
 _OPENS_FUNCTION = f"""
-e.ends = '{{' and s.last = ')' and outside and s.closed <> ''
+s.last = ')' and s.closed <> '' and {_OUTSIDE}
 and not startswith(s.closed, 'new ') and not {_any('s.closed', CONTROL_HEADS)}
 and not contains(e.run, '=') and not e.run rlike {_text(TYPE_WORD)}"""
 
@@ -331,78 +344,70 @@ _OPENS_TYPE = f"""
 not contains(e.run, '=')
 and ((s.last = ')' and startswith(s.closed, 'new ')) or e.run rlike {_text(TYPE_WORD)})"""
 
+_KIND = f"""
+case e.ends when '(' then '('
+  when '{{' then if({_OPENS_FUNCTION}, 'function', if({_OPENS_TYPE}, 'type', 'block')) end"""
+
 # a typed prefix where only declarations stand is a declaration
 _DECLARES = f"""
-outside and begins and e.shape.before <> '' and not contains(e.run, '=')
-and not e.shape.before rlike {_text(r'(?:\.|->)$|^::$')}
+s.begins and e.shape.before <> '' and {_OUTSIDE} and not contains(e.run, '=')
+and not e.shape.before rlike {_text(r'(?:\.|->)$|^\s*::$')}
 and not {_any('e.shape.word', ['new', *WORDS_BEFORE_CALL])}"""
 
 # an unmatched parenthesis never outlives the braces around it
-_POP = """
-case when e.ends = ')' then if(top.kind = '(', size(s.opened), null)
-     when e.ends <> '}' then null
-     when top.kind <> '(' then size(s.opened)
-     else array_max(transform(s.opened, (o, i) -> if(o.kind <> '(', i + 1, null))) end"""
+_POP = f"""
+case e.ends when ')' then if({_TOP}.kind = '(', size(s.opened), null)
+  when '}}' then if({_TOP}.kind <> '(', size(s.opened),
+    array_max(transform(s.opened, (o, i) -> if(o.kind <> '(', i + 1, null)))) end"""
 
 _FOUND = f"""
-case when call.form is not null then {_let(
-    _after("s.line", "s.col", "e.shape.up_to_name"),
-    "here",
+case when e.shape is not null and not ({_DECLARES}) then {_let(
+    _form("brace", "if(s.last = ')', s.closed, '')"),
+    "call",
+    "if(call.form is null, null, "
+    + _let(
+        _after("s.here.line", "s.here.col", "e.shape.up_to_name"),
+        "place",
+        _struct(
+            line="place.line",
+            start_column="place.col + 1",
+            name="e.shape.name",
+            form="call.form",
+            target="call.target",
+            args="e.shape.args",
+        ),
+        CALL_TYPE,
+    )
+    + ")",
+    CALL_TYPE,
+)}
+     when e.ends = 'delete' and not e.run rlike {_text(r'(?:=|operator)\s*$')} then {_let(
+    _after("s.here.line", "s.here.col", "e.run"),
+    "place",
     _struct(
-        line="here.line",
-        start_column="here.col + 1",
-        name="e.shape.name",
-        form="call.form",
-        target="call.target",
-        args="e.args",
+        line="place.line",
+        start_column="place.col + 1",
+        name="'delete'",
+        form="'keyword'",
+        target="''",
+        args="''",
     ),
     CALL_TYPE,
-)}
-     when e.ends = 'delete' and not e.run rlike {_text(r'(?:=|operator)\s*$')} then {_struct(
-    line="next.line",
-    start_column="next.col - 5",
-    name="'delete'",
-    form="'keyword'",
-    target="''",
-    args="''",
 )} end"""
 
-_CALL = (
-    f"if(e.shape is null or ({_DECLARES}), null, "
-    + _form("brace", "if(s.last = ')', s.closed, '')")
-    + ")"
-)
-_AT = (
-    "if(begins, "
-    + _after("s.line", "s.col", f"regexp_extract(e.run, {_text(BEFORE_FUNCTION)}, 0)")
-    + ", named_struct('line', s.at_line, 'col', s.at_col))"
-)
-_GONE = "if(pop is null, null, try_element_at(s.opened, pop))"
-_BEFORE_GONE = "try_element_at(s.opened, nullif(pop - 1, 0))"
-
-_BRACE_FACTS = _lets(
-    {
-        "top": "try_element_at(s.opened, -1)",
-        "outside": "top is null or top.kind = 'type'",
-        "begins": "s.last in ('', ';', '{', '}') and not s.keep",
-        "opens": _OPENS_FUNCTION,
-        "pop": _POP,
-        "next": _after("s.line", "s.col", "e.text"),
-        "call": _CALL,
-    },
+_BRACE_FACTS = _let(
+    _POP,
+    "pop",
     _struct(
-        kind="case when e.ends = '(' then '(' when opens then 'function'"
-        f" when e.ends = '{{' and {_OPENS_TYPE} then 'type' else 'block' end",
-        opens="opens",
+        kind=_KIND,
         pop="pop",
-        head="if(e.ends = '(' and s.last = ')'"
-        f" and ({_any('e.head', TRANSPARENT_HEADS)} or e.run rlike {_text(r'^\s*$')}),"
-        " s.closed, e.head)",
-        at=_AT,
-        next="next",
-        gone=_GONE,
-        finished=f"coalesce({_GONE}.kind = 'function', false)",
-        keep=f"e.ends = '}}' and coalesce({_BEFORE_GONE}.kind = '(', false)",
+        at="if(s.begins, "
+        + _after("s.here.line", "s.here.col", f"regexp_extract(e.run, {_text(BEFORE_FUNCTION)}, 0)")
+        + ", s.at)",
+        next=_after("s.here.line", "s.here.col", "e.text"),
+        finished="e.ends = '}' and coalesce(try_element_at(s.opened, pop).kind = 'function', false)",
+        keep="e.ends = '}' and"
+        " coalesce(try_element_at(s.opened, nullif(pop - 1, 0)).kind = '(', false)",
         found=_FOUND,
     ),
     BRACE_FACTS_TYPE,
@@ -410,27 +415,31 @@ _BRACE_FACTS = _lets(
 
 _CURRENT = "try_element_at(s.functions, -1)"
 _OUTER = "slice(s.functions, 1, greatest(size(s.functions) - 1, 0))"
-_FLUSH = "e.ends in (';', '{', '}') and size(s.waiting) > 0"
+_FLUSH = "size(s.waiting) > 0 and e.ends in (';', '{', '}')"
+_HEAD = (
+    f"if(s.last = ')' and ({_any('e.head', TRANSPARENT_HEADS)}"
+    f" or e.run rlike {_text(r'^\s*$')}), s.closed, e.head)"
+)
 
 _BRACE_NEXT = _struct(
-    line="f.next.line",
-    col="f.next.col",
-    at_line="if(f.keep, f.gone.line, f.at.line)",
-    at_col="if(f.keep, f.gone.col, f.at.col)",
-    keep="f.keep",
-    last="e.ends",
-    closed="if(e.ends = ')', coalesce(f.gone.head, ''), '')",
+    here="f.next",
+    at="if(f.keep, try_element_at(s.opened, f.pop).at, f.at)",
+    begins="e.ends in (';', '{', '}') and not f.keep",
+    last="if(e.ends = 'pair', ')', e.ends)",
+    closed=f"""
+case e.ends when 'pair' then {_HEAD}
+  when ')' then if(f.pop is null, '', try_element_at(s.opened, f.pop).head)
+  else '' end""",
     opened=f"""
-case when e.ends in ('(', '{{') then concat(s.opened, array({_struct(
-    kind="f.kind", head="f.head", line="f.at.line", col="f.at.col"
-)}))
-     when f.pop is not null then slice(s.opened, 1, f.pop - 1)
+case when f.pop is not null then slice(s.opened, 1, f.pop - 1)
+     when f.kind is not null
+       then concat(s.opened, array({_struct(kind="f.kind", head=_HEAD, at="f.at")}))
      else s.opened end""",
     functions=f"""
-case when f.opens then concat(s.functions, array({_struct(
+case when f.finished then {_OUTER}
+     when f.kind = 'function' then concat(s.functions, array({_struct(
     start_line="f.at.line", start_column="f.at.col", calls="s.waiting"
 )}))
-     when f.finished then {_OUTER}
      when {_FLUSH} and size(s.functions) > 0 then concat({_OUTER}, array({_struct(
     start_line=f"{_CURRENT}.start_line",
     start_column=f"{_CURRENT}.start_column",
@@ -438,8 +447,8 @@ case when f.opens then concat(s.functions, array({_struct(
 )}))
      else s.functions end""",
     waiting=f"""
-case when e.ends in (';', '{{', '}}') then {NO_CALLS}
-     when f.found is not null then concat(s.waiting, array(f.found))
+case when f.found is not null then concat(s.waiting, array(f.found))
+     when {_FLUSH} then {NO_CALLS}
      else s.waiting end""",
     units=f"""
 if(f.finished, concat(s.units, array({_struct(
@@ -449,7 +458,7 @@ if(f.finished, concat(s.units, array({_struct(
     end_column="f.next.col",
     calls=f"concat({_CURRENT}.calls, s.waiting)",
 )})), s.units)""",
-    loose=f"if({_FLUSH} and not f.opens and size(s.functions) = 0,"
+    loose=f"if({_FLUSH} and size(s.functions) = 0 and coalesce(f.kind, '') <> 'function',"
     " concat(s.loose, s.waiting), s.loose)",
 )
 
@@ -462,24 +471,25 @@ _BRACE_END = _struct(
 
 
 def _python_steps(masked: str, names: dict[str, str] | None) -> str:
-    facts = _struct(
-        ends="right(t, 1)",
-        run="run",
-        used=f"length(regexp_replace(run, {_text(r'\s+$')}, ''))",
-        shape=f"if({_hit(names)}, {_SHAPE}, null)",
-    )
-    bound = _lets(
+    opening = _lets(
         {
-            "run": "left(t, length(t) - 1)",
-            "chain": f"if(right(t, 1) = '(', regexp_extract(run, {_text(CHAIN)}, 0), '')",
+            "run": "substring_index(t, '(', 1)",
+            "chain": f"regexp_extract(run, {_text(CHAIN)}, 0)",
             "name": LAST_NAME,
+            "args": "''",
         },
-        facts,
+        _struct(
+            ends="if(endswith(t, '('), '(', 'pair')",
+            text="t",
+            run="run",
+            shape=f"if({_hit(names)}, {_SHAPE}, null)",
+        ),
         PYTHON_STEP_TYPE,
     )
+    plain = _struct(ends="right(t, 1)", text="t", run="left(t, length(t) - 1)", shape="null")
     # the line added at the end changes no extent
     cut = f"regexp_extract_all(concat({masked}, '\\n'), {_text(STEPS['python'])}, 0)"
-    return f"transform({cut}, t -> {bound})"
+    return f"transform({cut}, t -> if(contains(t, '('), {opening}, {plain}))"
 
 
 # State of the fold over Python.  A function ends with the last code before a
@@ -512,27 +522,31 @@ def _ended(functions: str) -> str:
 _INDENT = (
     f"length(replace(regexp_extract(e.run, {_text(r'^[ \t\f]*')}, 0), '\\t', '        '))"
 )
-_PYTHON_FOUND = "if(call.form is null, null, " + _struct(
-    line="s.line",
-    start_column="s.col + length(e.shape.up_to_name) + 1",
-    name="e.shape.name",
-    form="call.form",
-    target="call.target",
-    args="''",
-) + ")"
-_PYTHON_FACTS = _lets(
-    {
-        "is_code": "e.used > 0 or e.ends <> '\\n'",
-        "begins": f"s.begins and is_code and not startswith(e.run, '{FILLER}')",
-        "indent": f"if(begins, {_INDENT}, null)",
-        "call": f"if(e.shape is null, null, {_form('python', _text(''))})",
-    },
+_PYTHON_FOUND = f"if(e.shape is null, null, {_let(
+    _form('python', _text('')),
+    'call',
+    'if(call.form is null, null, ' + _struct(
+        line='s.line',
+        start_column='s.col + length(e.shape.up_to_name) + 1',
+        name='e.shape.name',
+        form='call.form',
+        target='call.target',
+        args=_text(''),
+    ) + ')',
+    CALL_TYPE,
+)})"
+_IS_CODE = f"(e.ends <> '\\n' or e.run rlike {_text(r'\S')})"
+_PYTHON_FACTS = _let(
+    f"if(s.begins and {_IS_CODE} and not startswith(e.run, '{FILLER}'), {_INDENT}, null)",
+    "indent",
     _struct(
-        is_code="is_code",
+        is_code=_IS_CODE,
         indent="indent",
         # deeper functions were opened later, so those left are the first ones
-        left="if(begins, size(filter(s.functions, u -> u.indent < indent)), size(s.functions))",
-        defines=f"begins and e.run rlike {_text(r'^\s*(?:async\s+)?def\s')}",
+        left="if(indent is null or size(s.functions) = 0, size(s.functions),"
+        " size(filter(s.functions, u -> u.indent < indent)))",
+        defines="indent is not null and contains(e.run, 'def')"
+        f" and e.run rlike {_text(r'^\s*(?:async\s+)?def\s')}",
         found=_PYTHON_FOUND,
     ),
     PYTHON_FACTS_TYPE,
@@ -541,17 +555,17 @@ _HERE = "try_element_at(s.functions, nullif(f.left, 0))"
 _LEFT = "if(f.left = size(s.functions), s.functions, slice(s.functions, 1, f.left))"
 _PYTHON_NEXT = _struct(
     line="if(e.ends = '\\n', s.line + 1, s.line)",
-    col="if(e.ends = '\\n', 0, s.col + length(e.run) + 1)",
+    col="if(e.ends = '\\n', 0, s.col + length(e.text))",
     depth="""
-case when e.ends in ('(', '[', '{') then s.depth + 1
-     when e.ends = '\\n' then s.depth
+case when e.ends in ('\\n', 'pair') then s.depth
+     when e.ends in ('(', '[', '{') then s.depth + 1
      else greatest(s.depth - 1, 0) end""",
     begins="e.ends = '\\n' and s.depth = 0 and not endswith(e.run, '\\\\')",
     end_line="if(f.is_code, s.line, s.end_line)",
     end_col="""
 case when not f.is_code then s.end_col
-     when e.ends = '\\n' then s.col + e.used
-     else s.col + length(e.run) + 1 end""",
+     when e.ends = '\\n' then s.col + length(regexp_replace(e.run, '\\\\s+$', ''))
+     else s.col + length(e.text) end""",
     functions=f"""
 case when f.defines then concat({_LEFT}, array({_struct(
     indent="f.indent",
