@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vettica.operators import sinks
 from vettica.operators.secrets import scan_secrets
 from vettica.plans.queries import FINDING_COLUMNS, with_stand_in_scores
 from vettica.plans.cascade import cascade, incremental_scan
@@ -135,6 +136,14 @@ def test_plans_do_not_shuffle_files(files):
             assert operator not in plan
 
 
+def test_files_are_scanned_once(files):
+    """No rule of the optimizer repeats the scan of a file in a filter."""
+    for frame in (sinks.function_spans(files), sinks.call_sites(files), sinks.sink_candidates(files)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        scans = [line for line in plan.split("\n") if "WHEN lang" in line and "aggregate(" in line]
+        assert len(scans) == 1
+
+
 def test_filters_reach_the_scan(spark, files, tmp_path):
     place = str(tmp_path / "t")
     files.withColumn("length", F.length("text").cast("bigint")).withColumn(

@@ -84,16 +84,20 @@ def redact(secret: Column, visible: int = DEFAULT_VISIBLE_PREFIX) -> Column:
 
 def fixed3(value: Column) -> Column:
     """A score in [0, 1] with three decimals, rounding its exact binary value
-    half to even (``format_string`` rounds the shortest decimal instead)."""
-    high = F.floor(value * F.lit(float(2**26)))
-    low = F.floor((value * F.lit(float(2**26)) - high) * F.lit(float(2**38)))
-    wide = "decimal(38,0)"
-    two38, two63, two64 = (F.lit(str(2**n)).cast(wide) for n in (38, 63, 64))
-    scaled = ((high.cast("decimal(18,0)") * F.lit(2**38)).cast(wide) + low.cast(wide)) * F.lit(1000)
-    scaled = scaled.cast(wide)
-    whole = F.floor(scaled / two64).cast("bigint")
-    rest = (scaled - (whole.cast("decimal(18,0)") * two64).cast(wide)).cast(wide)
-    up = (rest > two63) | ((rest == two63) & (F.pmod(whole, F.lit(2)) == 1))
+    half to even (``format_string`` rounds the shortest decimal instead).
+
+    The value is taken apart into 26 and 38 binary places, which is exact, and
+    multiplied by 1000 in whole numbers.
+    """
+    places = F.lit(float(2**26))
+    high = F.floor(value * places)
+    low = F.floor((value * places - high) * F.lit(float(2**38)))
+    tail = low * 1000
+    upper = high * 1000 + F.shiftright(tail, 38)
+    rest = upper.bitwiseAND(F.lit(2**26 - 1).cast("bigint"))
+    sticky = tail.bitwiseAND(F.lit(2**38 - 1)) > 0
+    whole = F.shiftright(upper, 26)
+    up = (rest > 2**25) | ((rest == 2**25) & (sticky | (F.pmod(whole, F.lit(2)) == 1)))
     thousandths = whole + F.when(up, 1).otherwise(0)
     return F.concat(
         F.floor(thousandths / 1000).cast("string"),

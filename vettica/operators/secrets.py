@@ -1,7 +1,7 @@
 """Secret scanning: one row per file, line and rule, first match on the line.
 
-All steps are narrow.  A whole-text test drops the files no rule can match
-before any line is produced, so the explode only touches files with a hit.
+All steps are narrow.  A cheap whole-text test drops the files no rule can match
+before any line is produced.
 """
 
 from __future__ import annotations
@@ -32,6 +32,17 @@ def _matches(text: Column, rules: tuple[SecretRule, ...]) -> Column:
     return F.filter(F.array(*hits), lambda hit: hit["matched_text"] != "")
 
 
+def _may_match(text: Column, rules: tuple[SecretRule, ...]) -> Column:
+    """A cheap test that holds for every text some rule matches."""
+    test = F.lit(False)
+    for literal in sorted({rule.literal for rule in rules if rule.literal}):
+        test = test | text.contains(literal)
+    patterns = {rule.clue or rule.pattern for rule in rules if not rule.literal}
+    for pattern in sorted(patterns):
+        test = test | text.rlike(pattern)
+    return test
+
+
 def scan_secrets(
     corpus: DataFrame, rules: tuple[SecretRule, ...] = SECRET_RULES
 ) -> DataFrame:
@@ -40,10 +51,11 @@ def scan_secrets(
     ``matched_text`` is the raw value: pass the result through
     :func:`redacted` before showing or storing it.
     """
-    pattern = any_of(rules)
+    text = F.col("text")
+    files = corpus.select("path", "text").filter(_may_match(text, rules))
     return (
-        split_lines(corpus.select("path", "text").filter(F.col("text").rlike(pattern)))
-        .filter(F.col("text").rlike(pattern))
+        split_lines(files)
+        .filter(_may_match(text, rules) & text.rlike(any_of(rules)))
         .select("path", "line", F.inline(_matches(F.col("text"), rules)))
     )
 

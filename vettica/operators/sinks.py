@@ -106,9 +106,12 @@ def call_sites(corpus: DataFrame) -> DataFrame:
 def function_spans(corpus: DataFrame) -> DataFrame:
     """Extent of every function, method and constructor; lines and byte
     columns start at 1, the end column is that of the last byte."""
+    # the outer form keeps Spark from testing the size of the array, that is
+    # from scanning every file once more, in a filter below
     return (
         _scanned(corpus, None)
-        .select("path", "lang", F.inline("scan.units"))
+        .select("path", "lang", F.inline_outer("scan.units"))
+        .filter(F.col("start_line").isNotNull())
         .select(
             "path",
             "lang",

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vettica.sources.corpus import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -215,13 +217,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def keys(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The columns a text is derived from, spread before it grows."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def code_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return _view(spark, CODE_CORPUS, part=table(spark, folder, "part"))
+    return _view(spark, CODE_CORPUS, part=keys(spark, folder, "part", "p_partkey"))
 
 
 def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    names = ("documents", "conversations", "pages", "part")
-    return _view(spark, TEXT_CORPUS, **{name: table(spark, folder, name) for name in names})
+    columns = {
+        "documents": ("doc_id", "text"),
+        "conversations": ("conv_id", "turn", "text"),
+        "pages": ("page_id", "html"),
+        "part": ("p_partkey",),
+    }
+    return _view(
+        spark, TEXT_CORPUS, **{name: keys(spark, folder, name, *c) for name, c in columns.items()}
+    )
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,7 +243,7 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return _view(spark, SCORED_CANDIDATES, orders=table(spark, folder, "orders"))
+    return _view(spark, SCORED_CANDIDATES, orders=keys(spark, folder, "orders", "o_orderkey"))
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,6 +96,19 @@ def restrict_to(corpus: DataFrame, changed: DataFrame) -> DataFrame:
     return corpus.join(changed.select("path"), "path", "left_semi")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out over all cores.
+
+    Reading a file is cheap next to scanning it, and a small table may come in
+    fewer splits than there are cores.  A table with enough splits is left as
+    it is, so a large corpus is never exchanged.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def load_corpus(spark: SparkSession, location: str) -> DataFrame:
     """A corpus kept as a Parquet table with ``path`` and ``content``."""
     table = spark.read.parquet(location)
