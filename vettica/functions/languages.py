@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vettica.functions.text import strip
+
 # File extension -> language of its sink rules.
 RULE_LANGUAGES = {
     ".py": "python",
@@ -50,7 +52,7 @@ def model_language(path: Column) -> Column:
 
 
 def normalize_language(name: Column) -> Column:
-    cleaned = F.lower(F.regexp_replace(name, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", ""))
+    cleaned = F.lower(strip(name))
     return F.coalesce(_lookup(cleaned, LANGUAGE_ALIASES), cleaned)
 
 

@@ -21,8 +21,9 @@ WELL_FORMED_UTF8 = (
     r"|\xF4[\x80-\x8F][\x80-\xBF]{2}"
 )
 
-# What Python's str.strip removes.
-STRIP_EDGES = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+# What Python's str.strip removes.  The look-behind keeps long
+# blank stretches inside a text from being searched again at each character.
+STRIP_EDGES = r"(?U)^[\s\x1C-\x1F]++|(?<![\s\x1C-\x1F])[\s\x1C-\x1F]++$"
 
 DEFAULT_VISIBLE_PREFIX = 4
 

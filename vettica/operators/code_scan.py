@@ -24,20 +24,22 @@ from pyspark.sql import functions as F
 FILLER = "\x01"  # stands for the inside of a string literal
 NAME = r"[\w$\x80-\xFF]"
 
-# Patterns avoid repeated groups over long input: Java evaluates those by
-# recursion.  A quoted literal ends at a quote after an even number of
-# backslashes, or at the end of the line.
+# Patterns avoid repeated groups over long input, which Java evaluates by
+# recursion, and never give up after a long search, which would start again one
+# character later.  A quoted literal ends at a quote after an even number of
+# backslashes, or at the end of the line; an open comment at the end of the text.
 _CLOSING = r"(?<!\\)(?:\\\\)*"
 DOUBLE_QUOTED = rf'"[\s\S]*?{_CLOSING}(?:"|(?=\n)|\z)'
 SINGLE_QUOTED = rf"'[\s\S]*?{_CLOSING}(?:'|(?=\n)|\z)"
-CHARACTER = rf"(?<!\d)'[^\n]*?{_CLOSING}'"
-BRACE_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
+# not the separator in a number
+CHARACTER = rf"(?:(?<![0-9A-Fa-f])|(?<=u8)){SINGLE_QUOTED}"
+BRACE_COMMENTS = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
 LONG_QUOTED = (
     rf'"""[\s\S]*?{_CLOSING}(?:"""|\z)|\'\'\'[\s\S]*?{_CLOSING}(?:\'\'\'|\z)'
 )
 # outside comments and literals a # always starts a directive
 _DIRECTIVE = r"#[\s\S]*?(?:(?<!\\)(?<!\\\r)(?=\n)|(?=/\*)|\z)"
-_RAW_STRING = r'(?<=R)"([^()\\\s"]{0,16})\([\s\S]*?\)\1"'
+_RAW_STRING = r'(?<=R)"([^()\\\s"]{0,16})\([\s\S]*?(?:\)\1"|\z)'
 
 PIECES = {
     "c": rf"[^/\"'#]+|{_DIRECTIVE}|{BRACE_COMMENTS}|{DOUBLE_QUOTED}|{CHARACTER}|[\s\S]",
@@ -46,7 +48,7 @@ PIECES = {
         r"|[\s\S]"
     ),
     "java": (
-        rf'[^/\"\']+|{BRACE_COMMENTS}|"""[\s\S]*?{_CLOSING}"""|{DOUBLE_QUOTED}|{CHARACTER}'
+        rf'[^/\"\']+|{BRACE_COMMENTS}|"""[\s\S]*?{_CLOSING}(?:"""|\z)|{DOUBLE_QUOTED}|{CHARACTER}'
         r"|[\s\S]"
     ),
     "python": rf"[^#\"']+|#[^\n]*|{LONG_QUOTED}|{DOUBLE_QUOTED}|{SINGLE_QUOTED}|[\s\S]",
@@ -111,8 +113,15 @@ BRACE_FACTS_TYPE = (
 )
 PYTHON_STEP_TYPE = f"struct<ends:string,text:string,run:string,shape:{SHAPE_TYPE}>"
 PYTHON_FACTS_TYPE = "struct<is_code:boolean,indent:int,left:int,defines:boolean,found:%s>" % CALL_TYPE
+FUNCTION_TYPE = (
+    f"struct<start_line:int,start_column:int,full:array<array<{CALL_TYPE}>>,"
+    f"recent:array<{CALL_TYPE}>>"
+)
 NO_CALLS = f"cast(array() as array<{CALL_TYPE}>)"
 NO_UNITS = f"cast(array() as array<{UNIT_TYPE}>)"
+NO_CALL_BLOCKS = f"cast(array() as array<array<{CALL_TYPE}>>)"
+NO_UNIT_BLOCKS = f"cast(array() as array<array<{UNIT_TYPE}>>)"
+BLOCK = 64
 
 BRACE_LANGUAGES = ("c", "cpp", "java")
 LANGUAGES = (*BRACE_LANGUAGES, "python")
@@ -184,6 +193,17 @@ def _mask(code: str, lang: str) -> str:
     return f"array_join(transform({pieces}, p -> {_let('left(p, 1)', 'first', masked, 'string')}), '')"
 
 
+def _filled(full: str, recent: str) -> str:
+    """Lists that grow are kept as full blocks and a recent one, because adding
+    to an array copies it: here the blocks once an item no longer fits ..."""
+    return f"if(size({recent}) >= {BLOCK}, concat({full}, array({recent})), {full})"
+
+
+def _added(recent: str, items: str) -> str:
+    """... and here the recent block with the items."""
+    return f"if(size({recent}) >= {BLOCK}, {items}, concat({recent}, {items}))"
+
+
 def _newlines(text: str) -> str:
     return f"(length({text}) - length(replace({text}, '\\n', '')))"
 
@@ -197,8 +217,12 @@ def _after(line: str, col: str, text: str) -> str:
     return _let(_newlines(text), "breaks", moved, POSITION_TYPE)
 
 
+def _trimmed(text: str) -> str:
+    return f"trim(trailing ' \\t\\n\\r\\u000C\\u000B' from {text})"
+
+
 def _squeeze(text: str) -> str:
-    return f"translate({text}, ' \\t\\n\\r\\f\\u000B', '')"
+    return f"translate({text}, ' \\t\\n\\r\\u000C\\u000B', '')"
 
 
 LAST_NAME = (
@@ -207,7 +231,7 @@ LAST_NAME = (
 
 # what the text before an opening bracket says about a call
 _SHAPE = _let(
-    f"regexp_replace(regexp_replace(run, {_text(CHAIN + r'\s*$')}, ''), {_text(r'\s+$')}, '')",
+    _trimmed(f"regexp_replace(run, {_text(CHAIN + r'\s*$')}, '')"),
     "before",
     _struct(
         name="name",
@@ -267,9 +291,10 @@ def _hit(names: dict[str, str] | None) -> str:
 
 def _brace_steps(masked: str, names: dict[str, str] | None) -> str:
     """Stateless facts about each step, computed once."""
+    # the mark added at the end lets the last step end, too
     cut = _by_language(
-        {"cpp": f"regexp_extract_all(masked, {_text(STEPS['cpp'])}, 0)"},
-        f"regexp_extract_all(masked, {_text(STEPS['c'])}, 0)",
+        {"cpp": f"regexp_extract_all(concat(masked, ';'), {_text(STEPS['cpp'])}, 0)"},
+        f"regexp_extract_all(concat(masked, ';'), {_text(STEPS['c'])}, 0)",
     )
     creates = rf"\b(?:new|record)\s+{CHAIN}"
     head = f"""
@@ -325,11 +350,12 @@ _BRACE_START = _struct(
     last="''",
     closed="''",
     opened=f"cast(array() as array<{OPENED_TYPE}>)",
-    functions="cast(array() as array<struct<start_line:int,start_column:int,"
-    f"calls:array<{CALL_TYPE}>>>)",
+    functions=f"cast(array() as array<{FUNCTION_TYPE}>)",
     waiting=NO_CALLS,
-    units=NO_UNITS,
-    loose=NO_CALLS,
+    units=NO_UNIT_BLOCKS,
+    new_units=NO_UNITS,
+    loose=NO_CALL_BLOCKS,
+    new_loose=NO_CALLS,
 )
 
 _TOP = "try_element_at(s.opened, -1)"
@@ -416,6 +442,14 @@ _BRACE_FACTS = _let(
 _CURRENT = "try_element_at(s.functions, -1)"
 _OUTER = "slice(s.functions, 1, greatest(size(s.functions) - 1, 0))"
 _FLUSH = "size(s.waiting) > 0 and e.ends in (';', '{', '}')"
+_UNIT = _struct(
+    start_line=f"{_CURRENT}.start_line",
+    start_column=f"{_CURRENT}.start_column",
+    end_line="f.next.line",
+    end_column="f.next.col",
+    calls=f"concat(flatten({_CURRENT}.full), {_CURRENT}.recent, s.waiting)",
+)
+_LOOSE = f"{_FLUSH} and size(s.functions) = 0 and coalesce(f.kind, '') <> 'function'"
 _HEAD = (
     f"if(s.last = ')' and ({_any('e.head', TRANSPARENT_HEADS)}"
     f" or e.run rlike {_text(r'^\s*$')}), s.closed, e.head)"
@@ -438,35 +472,34 @@ case when f.pop is not null then slice(s.opened, 1, f.pop - 1)
     functions=f"""
 case when f.finished then {_OUTER}
      when f.kind = 'function' then concat(s.functions, array({_struct(
-    start_line="f.at.line", start_column="f.at.col", calls="s.waiting"
+    start_line="f.at.line",
+    start_column="f.at.col",
+    full=NO_CALL_BLOCKS,
+    recent="s.waiting",
 )}))
      when {_FLUSH} and size(s.functions) > 0 then concat({_OUTER}, array({_struct(
     start_line=f"{_CURRENT}.start_line",
     start_column=f"{_CURRENT}.start_column",
-    calls=f"concat({_CURRENT}.calls, s.waiting)",
+    full=_filled(f"{_CURRENT}.full", f"{_CURRENT}.recent"),
+    recent=_added(f"{_CURRENT}.recent", "s.waiting"),
 )}))
      else s.functions end""",
     waiting=f"""
 case when f.found is not null then concat(s.waiting, array(f.found))
      when {_FLUSH} then {NO_CALLS}
      else s.waiting end""",
-    units=f"""
-if(f.finished, concat(s.units, array({_struct(
-    start_line=f"{_CURRENT}.start_line",
-    start_column=f"{_CURRENT}.start_column",
-    end_line="f.next.line",
-    end_column="f.next.col",
-    calls=f"concat({_CURRENT}.calls, s.waiting)",
-)})), s.units)""",
-    loose=f"if({_FLUSH} and size(s.functions) = 0 and coalesce(f.kind, '') <> 'function',"
-    " concat(s.loose, s.waiting), s.loose)",
+    units=f"if(f.finished, {_filled('s.units', 's.new_units')}, s.units)",
+    new_units=f"if(f.finished, {_added('s.new_units', f'array({_UNIT})')}, s.new_units)",
+    loose=f"if({_LOOSE}, {_filled('s.loose', 's.new_loose')}, s.loose)",
+    new_loose=f"if({_LOOSE}, {_added('s.new_loose', 's.waiting')}, s.new_loose)",
 )
 
 _BRACE_STEP = _then(_BRACE_FACTS, _BRACE_NEXT)
 
 _BRACE_END = _struct(
-    units="s.units",
-    loose="concat(s.loose, flatten(transform(s.functions, u -> u.calls)), s.waiting)",
+    units="concat(flatten(s.units), s.new_units)",
+    loose="concat(flatten(s.loose), s.new_loose,"
+    " flatten(transform(s.functions, u -> concat(flatten(u.full), u.recent))), s.waiting)",
 )
 
 
@@ -502,9 +535,11 @@ _PYTHON_START = _struct(
     end_line="1",
     end_col="0",
     functions="cast(array() as array<struct<indent:int,start_line:int,start_column:int,"
-    f"calls:array<{CALL_TYPE}>>>)",
-    units=NO_UNITS,
-    loose=NO_CALLS,
+    f"full:array<array<{CALL_TYPE}>>,recent:array<{CALL_TYPE}>>>)",
+    units=NO_UNIT_BLOCKS,
+    new_units=NO_UNITS,
+    loose=NO_CALL_BLOCKS,
+    new_loose=NO_CALLS,
 )
 
 
@@ -514,7 +549,7 @@ def _ended(functions: str) -> str:
         start_column="u.start_column",
         end_line="s.end_line",
         end_column="s.end_col",
-        calls="u.calls",
+        calls="concat(flatten(u.full), u.recent)",
     )
     return f"transform({functions}, u -> {unit})"
 
@@ -553,6 +588,9 @@ _PYTHON_FACTS = _let(
 )
 _HERE = "try_element_at(s.functions, nullif(f.left, 0))"
 _LEFT = "if(f.left = size(s.functions), s.functions, slice(s.functions, 1, f.left))"
+_NONE_ENDED = "f.left = size(s.functions)"
+_NOW_ENDED = _ended("slice(s.functions, f.left + 1, size(s.functions) - f.left)")
+_NOT_LOOSE = "f.found is null or f.left > 0"
 _PYTHON_NEXT = _struct(
     line="if(e.ends = '\\n', s.line + 1, s.line)",
     col="if(e.ends = '\\n', 0, s.col + length(e.text))",
@@ -564,32 +602,35 @@ case when e.ends in ('\\n', 'pair') then s.depth
     end_line="if(f.is_code, s.line, s.end_line)",
     end_col="""
 case when not f.is_code then s.end_col
-     when e.ends = '\\n' then s.col + length(regexp_replace(e.run, '\\\\s+$', ''))
-     else s.col + length(e.text) end""",
+     when e.ends = '\\n' then s.col + length(%s)
+     else s.col + length(e.text) end"""
+    % _trimmed("e.run"),
     functions=f"""
 case when f.defines then concat({_LEFT}, array({_struct(
     indent="f.indent",
     start_line="s.line",
     start_column=f"length(regexp_extract(e.run, {_text(r'^\s*')}, 0))",
-    calls=NO_CALLS,
+    full=NO_CALL_BLOCKS,
+    recent=NO_CALLS,
 )}))
      when f.found is not null and f.left > 0 then concat(slice(s.functions, 1, f.left - 1), array({
     _struct(
         indent=f"{_HERE}.indent",
         start_line=f"{_HERE}.start_line",
         start_column=f"{_HERE}.start_column",
-        calls=f"concat({_HERE}.calls, array(f.found))",
+        full=_filled(f"{_HERE}.full", f"{_HERE}.recent"),
+        recent=_added(f"{_HERE}.recent", "array(f.found)"),
     )}))
      else {_LEFT} end""",
-    units="if(f.left = size(s.functions), s.units, concat(s.units, "
-    + _ended("slice(s.functions, f.left + 1, size(s.functions) - f.left)")
-    + "))",
-    loose="if(f.found is null or f.left > 0, s.loose, concat(s.loose, array(f.found)))",
+    units=f"if({_NONE_ENDED}, s.units, {_filled('s.units', 's.new_units')})",
+    new_units=f"if({_NONE_ENDED}, s.new_units, {_added('s.new_units', _NOW_ENDED)})",
+    loose=f"if({_NOT_LOOSE}, s.loose, {_filled('s.loose', 's.new_loose')})",
+    new_loose=f"if({_NOT_LOOSE}, s.new_loose, {_added('s.new_loose', 'array(f.found)')})",
 )
 _PYTHON_STEP = _then(_PYTHON_FACTS, _PYTHON_NEXT)
 _PYTHON_END = _struct(
-    units=f"concat(s.units, {_ended('s.functions')})",
-    loose="s.loose",
+    units=f"concat(flatten(s.units), s.new_units, {_ended('s.functions')})",
+    loose="concat(flatten(s.loose), s.new_loose)",
 )
 
 
