@@ -121,7 +121,9 @@ NO_CALLS = f"cast(array() as array<{CALL_TYPE}>)"
 NO_UNITS = f"cast(array() as array<{UNIT_TYPE}>)"
 NO_CALL_BLOCKS = f"cast(array() as array<array<{CALL_TYPE}>>)"
 NO_UNIT_BLOCKS = f"cast(array() as array<array<{UNIT_TYPE}>>)"
+SCAN_TYPE = f"struct<units:array<{UNIT_TYPE}>,loose:array<{CALL_TYPE}>>"
 BLOCK = 64
+STEPS_AT_ONCE = 256
 
 BRACE_LANGUAGES = ("c", "cpp", "java")
 LANGUAGES = (*BRACE_LANGUAGES, "python")
@@ -352,10 +354,8 @@ _BRACE_START = _struct(
     opened=f"cast(array() as array<{OPENED_TYPE}>)",
     functions=f"cast(array() as array<{FUNCTION_TYPE}>)",
     waiting=NO_CALLS,
-    units=NO_UNIT_BLOCKS,
-    new_units=NO_UNITS,
-    loose=NO_CALL_BLOCKS,
-    new_loose=NO_CALLS,
+    units=NO_UNITS,
+    loose=NO_CALLS,
 )
 
 _TOP = "try_element_at(s.opened, -1)"
@@ -488,18 +488,16 @@ case when f.finished then {_OUTER}
 case when f.found is not null then concat(s.waiting, array(f.found))
      when {_FLUSH} then {NO_CALLS}
      else s.waiting end""",
-    units=f"if(f.finished, {_filled('s.units', 's.new_units')}, s.units)",
-    new_units=f"if(f.finished, {_added('s.new_units', f'array({_UNIT})')}, s.new_units)",
-    loose=f"if({_LOOSE}, {_filled('s.loose', 's.new_loose')}, s.loose)",
-    new_loose=f"if({_LOOSE}, {_added('s.new_loose', 's.waiting')}, s.new_loose)",
+    units=f"if(f.finished, concat(s.units, array({_UNIT})), s.units)",
+    loose=f"if({_LOOSE}, concat(s.loose, s.waiting), s.loose)",
 )
 
 _BRACE_STEP = _then(_BRACE_FACTS, _BRACE_NEXT)
 
 _BRACE_END = _struct(
-    units="concat(flatten(s.units), s.new_units)",
-    loose="concat(flatten(s.loose), s.new_loose,"
-    " flatten(transform(s.functions, u -> concat(flatten(u.full), u.recent))), s.waiting)",
+    units="flatten(o.units)",
+    loose="concat(flatten(o.loose),"
+    " flatten(transform(o.s.functions, u -> concat(flatten(u.full), u.recent))), o.s.waiting)",
 )
 
 
@@ -536,19 +534,17 @@ _PYTHON_START = _struct(
     end_col="0",
     functions="cast(array() as array<struct<indent:int,start_line:int,start_column:int,"
     f"full:array<array<{CALL_TYPE}>>,recent:array<{CALL_TYPE}>>>)",
-    units=NO_UNIT_BLOCKS,
-    new_units=NO_UNITS,
-    loose=NO_CALL_BLOCKS,
-    new_loose=NO_CALLS,
+    units=NO_UNITS,
+    loose=NO_CALLS,
 )
 
 
-def _ended(functions: str) -> str:
+def _ended(functions: str, state: str = "s") -> str:
     unit = _struct(
         start_line="u.start_line",
         start_column="u.start_column",
-        end_line="s.end_line",
-        end_column="s.end_col",
+        end_line=f"{state}.end_line",
+        end_column=f"{state}.end_col",
         calls="concat(flatten(u.full), u.recent)",
     )
     return f"transform({functions}, u -> {unit})"
@@ -622,20 +618,40 @@ case when f.defines then concat({_LEFT}, array({_struct(
         recent=_added(f"{_HERE}.recent", "array(f.found)"),
     )}))
      else {_LEFT} end""",
-    units=f"if({_NONE_ENDED}, s.units, {_filled('s.units', 's.new_units')})",
-    new_units=f"if({_NONE_ENDED}, s.new_units, {_added('s.new_units', _NOW_ENDED)})",
-    loose=f"if({_NOT_LOOSE}, s.loose, {_filled('s.loose', 's.new_loose')})",
-    new_loose=f"if({_NOT_LOOSE}, s.new_loose, {_added('s.new_loose', 'array(f.found)')})",
+    units=f"if({_NONE_ENDED}, s.units, concat(s.units, {_NOW_ENDED}))",
+    loose=f"if({_NOT_LOOSE}, s.loose, concat(s.loose, array(f.found)))",
 )
 _PYTHON_STEP = _then(_PYTHON_FACTS, _PYTHON_NEXT)
 _PYTHON_END = _struct(
-    units=f"concat(flatten(s.units), s.new_units, {_ended('s.functions')})",
-    loose="concat(flatten(s.loose), s.new_loose)",
+    units=f"concat(flatten(o.units), {_ended('o.s.functions', 'o.s')})",
+    loose="flatten(o.loose)",
 )
+_BRACE_FIELDS = "here at begins last closed opened functions waiting".split()
+_PYTHON_FIELDS = "line col depth begins end_line end_col functions".split()
 
 
-def _fold(steps: str, start: str, step: str, end: str) -> str:
-    return f"aggregate({steps}, {start}, (s, e) -> {step}, s -> {end})"
+def _fold(steps: str, start: str, fields: list[str], step: str, end: str) -> str:
+    """Fold over the steps, some at a time.
+
+    Spark copies the state after every step, so what was found is taken out of
+    it after each stretch of steps, and the state stays small.
+    """
+    stretch = f"aggregate(slice(steps, first, {STEPS_AT_ONCE}), o.s, (s, e) -> {step})"
+    state = _struct(**{f: f"r.{f}" for f in fields}, units=NO_UNITS, loose=NO_CALLS)
+    taken = _struct(
+        s=state,
+        units="if(size(r.units) > 0, concat(o.units, array(r.units)), o.units)",
+        loose="if(size(r.loose) > 0, concat(o.loose, array(r.loose)), o.loose)",
+    )
+    outer = _struct(s=start, units=NO_UNIT_BLOCKS, loose=NO_CALL_BLOCKS)
+    following = f"aggregate(array({stretch}), o, (o, r) -> {taken})"
+    firsts = f"if(size(steps) > 0, sequence(1, size(steps), {STEPS_AT_ONCE}), array(1))"
+    return _let(
+        steps,
+        "steps",
+        f"aggregate({firsts}, {outer}, (o, first) -> {following}, o -> {end})",
+        SCAN_TYPE,
+    )
 
 
 def scan_code(names: dict[str, str] | None = None, langs: tuple[str, ...] = LANGUAGES) -> Column:
@@ -649,11 +665,12 @@ def scan_code(names: dict[str, str] | None = None, langs: tuple[str, ...] = LANG
     braced = [lang for lang in BRACE_LANGUAGES if lang in langs]
     if braced:
         masked = _by_language({lang: _mask("code", lang) for lang in braced}, "null")
-        fold = _fold(_brace_steps(masked, names), _BRACE_START, _BRACE_STEP, _BRACE_END)
+        steps = _brace_steps(masked, names)
+        fold = _fold(steps, _BRACE_START, _BRACE_FIELDS, _BRACE_STEP, _BRACE_END)
         scans.update({"brace": f"when {_any('lang', braced)} then {fold}"})
     if "python" in langs:
         steps = _python_steps(_mask("code", "python"), names)
-        fold = _fold(steps, _PYTHON_START, _PYTHON_STEP, _PYTHON_END)
+        fold = _fold(steps, _PYTHON_START, _PYTHON_FIELDS, _PYTHON_STEP, _PYTHON_END)
         scans.update({"python": f"when lang = 'python' then {fold}"})
     return F.expr(f"case {' '.join(scans.values())} end")
 
