@@ -11,16 +11,15 @@ link when 100 * |A and B| >= 85 * |A or B|.
    the same size and prefix collapse into one group.  Only groups travel to the
    shingles of their prefix, and only shingles met by two groups go on.
 4. Groups that meet are expanded to their classes.  Of all classes at a shingle a
-   few stand as hubs; each other class is held against the hubs.  Verified pairs
-   make a first set of components.
+   few stand as hubs; each other class is held against some of them, in two rounds.
+   Verified pairs make a first set of components.
 5. All remaining pairs that meet at a shingle *and are not yet connected* are
    verified.  Pairs inside a component would change nothing, so every link between
    different texts is either verified or already spanned, while a group of
    thousands of near copies costs a number of pairs in proportion to its size.
 
-Before verification, pairs pass the size filter, the positional filter and a parity
-bitmap (the set's hashes toggle 1024 bits; unequal bits are at most the symmetric
-difference), none of which loses a link.  Verification intersects whole sets.
+Before verification, pairs pass the size filter and a parity bitmap (the set's hashes toggle 1024 bits; unequal bits are at most the symmetric
+difference), neither of which loses a link.  Verification intersects whole sets.
 """
 
 from __future__ import annotations
@@ -54,14 +53,14 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def _word_hashes(found: list[bytes]) -> np.ndarray:
     import xxhash
 
-    known: dict[bytes, int] = worker_memory("word hashes", dict)
-    if len(known) > REMEMBERED:
-        known.clear()
-    digest = xxhash.xxh3_64_intdigest
-    for word in found:
-        if word not in known:
-            known[word] = digest(word)
-    return np.array([known[w] for w in found], np.uint64)
+    known: dict[bytes, bytes] = worker_memory("word hashes", dict)
+    try:
+        return np.frombuffer(b"".join([known[w] for w in found]), np.uint64)
+    except KeyError:
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update((w, xxhash.xxh3_64_digest(w)) for w in found if w not in known)
+        return np.frombuffer(b"".join([known[w] for w in found]), np.uint64)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -115,7 +114,8 @@ def _profile(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema=_PROFILE,
         )
     if sketch.any():
-        parts = sketch.reshape(-1, SKETCH_ROW)
+        small = np.uint16 if sketch.max() < 1 << 16 else np.uint32
+        parts = sketch.astype(small).reshape(-1, SKETCH_ROW)
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
@@ -127,7 +127,8 @@ def _add_sketches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in source:
         for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            held.setdefault(block, np.zeros(SKETCH_ROW, np.uint64))[:] += np.frombuffer(sums, np.uint32)
+            small = np.uint16 if len(sums) == 2 * SKETCH_ROW else np.uint32
+            held.setdefault(block, np.zeros(SKETCH_ROW, np.uint64))[:] += np.frombuffer(sums, small)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in held.values()], pa.binary())], ["block", "sums"]
     )
@@ -144,7 +145,8 @@ def sketch_of(profile: DataFrame) -> np.ndarray:
 
 def with_prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(doc_id, n, sig, group_sig, prefix, bits) of documents that have a set."""
-    shared = documents.sparkSession.sparkContext.broadcast(sketch)
+    # sums on a logarithmic scale of 16 bits: any one scale gives one order for all
+    shared = documents.sparkSession.sparkContext.broadcast((np.log2(sketch + 1.0) * 2000).astype(np.uint16))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, mask = shared.value, np.int64((1 << SKETCH_BITS) - 1)
@@ -156,7 +158,7 @@ def with_prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if doc is None or not n:
                     continue
                 length = n - -(-PART * n // WHOLE) + 1
-                prefix = s[np.lexsort((s, often[s & mask]))[:length]]
+                prefix = s[np.argsort(often[s & mask], kind="stable")[:length]]
                 bits = np.packbits((np.bincount(s & np.int64(64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1).astype(np.uint8)).view(np.int64)
                 out.append((doc, n, signature(s), signature(np.r_[n, prefix]), prefix, bits))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -210,15 +212,14 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 # --- pairs -----------------------------------------------------------------
 
 
-def _possible() -> Column:
-    """Whether sides a and b of a pair pass the size, position and bitmap filters."""
-    least = needed(F.col("a.n"), F.col("b.n"))
+def _sizes_fit() -> Column:
+    return WHOLE * F.least("a.n", "b.n") >= PART * F.greatest("a.n", "b.n")
+
+
+def _bits_fit() -> Column:
+    """Whether the unequal bits of sides a and b allow the intersection needed."""
     unequal = F.aggregate(F.zip_with("a.bits", "b.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (
-        (WHOLE * F.least("a.n", "b.n") >= PART * F.greatest("a.n", "b.n"))
-        & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least)
-        & (unequal <= F.col("a.n") + F.col("b.n") - 2 * least)
-    )
+    return unequal <= F.col("a.n") + F.col("b.n") - 2 * needed(F.col("a.n"), F.col("b.n"))
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -232,39 +233,78 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def met_classes(classes: DataFrame) -> DataFrame:
-    """(token, id, n, pos, bits): classes at the prefix shingles where another group
-    or class is too.  ``classes`` has (id, n, group_sig, prefix, bits)."""
-    groups = classes.groupBy("group_sig").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    at = groups.select("group_sig", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = at.repartition("token").sortWithinPartitions("token").mapInArrow(_met_twice, "group_sig binary, n int, pos int, token long")
+    """(token, id, n): classes at the prefix shingles where another group or class is
+    too.  ``classes`` has (id, n, group_sig, prefix, ...)."""
+    groups = classes.groupBy("group_sig").agg(F.min("id").alias("group"), F.count("*").alias("members"))
+    several = stored(classes.select("id", "group_sig").join(groups.where("members > 1"), "group_sig").select("id", "group"))
+    # a group travels as its first class; the others are few and join it again after
+    first = classes.join(several.where("id != group").select("id"), "id", "left_anti")
+    at = first.select(F.col("id").alias("group"), F.explode("prefix").alias("token"))
+    met = at.repartition("token").sortWithinPartitions("token").mapInArrow(_met_twice, "group long, token long")
     # classes of one group have all of their prefix in common; its first shingle tells
-    inside = groups.where("members > 1").select("group_sig", "n", F.lit(0).alias("pos"), F.get("prefix", F.lit(0)).alias("token"))
+    inside = first.join(several.where("id = group").select("id"), "id", "left_semi").select(F.col("id").alias("group"), F.get("prefix", F.lit(0)).alias("token"))
     rows = stored(met.unionAll(inside).distinct())
-    return stored(rows.select("group_sig", "pos", "token").join(classes.select("id", "n", "group_sig", "bits"), "group_sig").select("token", "id", "n", "pos", "bits"))
+    others = rows.join(several.where("id != group"), "group").select("token", "id")
+    return stored(rows.select("token", F.col("group").alias("id")).unionAll(others).join(classes.select("id", "n"), "id").select("token", "id", "n"))
+
+
+def _with_hubs(met: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): each class of ``met`` against a hub of each of its shingles, at most
+    one for each column of ``hubs`` in the end."""
+    each = met.join(hubs, "token")
+    one = [F.min(F.struct(F.xxhash64(f"hub{k}"), f"hub{k}")).alias(f"h{k}") for k in range(HUBS)]
+    drawn = each.groupBy("id").agg(*one).select("id", F.explode(F.array(*(F.col(f"h{k}.hub{k}") for k in range(HUBS)))).alias("hub"))
+    return drawn.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that pass the size and bitmap filters."""
+    sides = classes.select("id", "n", "bits")
+    a = pairs.join(sides.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a")
+    both = a.join(sides.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    named = both.select("a", "b", F.col("x").alias("a_"), F.col("y").alias("b_"))
+    unequal = F.aggregate(F.zip_with("a_.bits", "b_.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    size, other = F.col("a_.n"), F.col("b_.n")
+    fits = (WHOLE * F.least(size, other) >= PART * F.greatest(size, other)) & (unequal <= size + other - 2 * needed(size, other))
+    return named.where(fits).select("a", "b")
+
+
+def _hubs(met: DataFrame, salt: int) -> DataFrame:
+    """(token, hub0, hub1, ...): the class of each shingle with the fewest prefix
+    shingles of its own, which is the nearest to the text that the others vary, and
+    others drawn by hash."""
+    own = F.struct("lone", F.xxhash64("id", F.lit(salt)), "id")
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(salt + k)), "id")).alias(f"h{k}") for k in range(1, HUBS)]
+    found = met.groupBy("token").agg(F.min(own).alias("h0"), *drawn)
+    return found.select("token", *(F.col(f"h{k}.id").alias(f"hub{k}") for k in range(HUBS)))
 
 
 def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between class representatives: verified links that connect every
     class with all it is linked to, directly or over others."""
     met = met_classes(classes)
-    hubs = [
-        met.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("draw"), "id", "n", "pos", "bits")).alias("h")).select("token", "h.id", "h.n", "h.pos", "h.bits")
-        for k in range(HUBS)
-    ]
-    hub = hubs[0]
-    for other in hubs[1:]:
-        hub = hub.unionAll(other)
-    pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
-    first = met.alias("a").join(hub.alias("b"), "token").where((F.col("a.id") != F.col("b.id")) & _possible()).select(*pair).distinct()
-    edges = stored(verified(documents, stored(first)))
-    known = components(edges).select(F.col("node").alias("id"), "component")
-    placed = stored(met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    # shingles whose classes are all connected have nothing left to tell
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    left = placed.join(open_tokens, "token", "left_semi")
-    rest = left.alias("a").join(left.alias("b"), "token").where((F.col("a.component") < F.col("b.component")) & _possible()).select(*pair).distinct()
-    # what the hubs already decided need not be decided again
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    shares = met.groupBy("id").agg(F.count("*").alias("k"))
+    lone = classes.select("id", F.size("prefix").alias("all")).join(shares, "id").select("id", (F.col("all") - F.col("k")).alias("lone"))
+    met = stored(met.join(lone, "id"))
+    edges: DataFrame | None = None
+    left, placed = met, None
+    for salt in (0, HUBS):
+        pairs = stored(_plausible(_with_hubs(left, _hubs(left, salt)), classes))
+        new = verified(documents, pairs)
+        edges = stored(new if edges is None else edges.unionAll(new))
+        known = components(edges).select(F.col("node").alias("id"), "component")
+        placed = stored(met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        # shingles whose classes are all connected have nothing left to tell
+        unequal = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+        left = stored(placed.join(unequal, "token", "left_semi"))
+    left = left.join(classes.select("id", "bits"), "id")
+    rest = (
+        left.alias("a")
+        .join(left.alias("b"), "token")
+        .where((F.col("a.component") < F.col("b.component")) & _sizes_fit() & _bits_fit())
+        .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+        .distinct()
+    )
     return edges.unionAll(verified(documents, stored(rest)))
 
 
