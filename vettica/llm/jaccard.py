@@ -25,6 +25,7 @@ difference), neither of which loses a link.  Verification intersects whole sets.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from vettica.llm.components import components
 SHINGLE = 4
 #: Links need PART / WHOLE of the union.
 PART, WHOLE = 85, 100
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 #: Sums of the sketch that travel as one row.
 SKETCH_ROW = 1 << 14
 BITMAP_WORDS = 16
@@ -189,9 +190,10 @@ def _met_twice(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, hashes) of the documents with these ids.  A filter of fixed size is built
-    from the ids and keeps most other texts from being cut up or moved."""
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, packed): the compressed texts of at least the documents with these ids.
+    A filter of fixed size, built from the ids, keeps most other texts from moving;
+    the join with the pairs drops the rest."""
     slots = 1 << FILTER_BITS
     slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot")
     wanted = np.zeros(slots, bool)
@@ -203,10 +205,25 @@ def sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
         bits = np.unpackbits(shared.value).astype(bool)
         for batch in source:
             batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t) for t in texts(batch)], pa.list_(pa.int64()))], ["id", "hashes"])
+            packed = [zlib.compress(t.encode("utf-8", "replace"), 1) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return rows.select("id", "text", slot).mapInArrow(run, "id long, hashes array<long>").join(ids, "id", "left_semi")
+    return rows.select("id", "text", slot).mapInArrow(run, "id long, packed binary")
+
+
+def _whole_sets_link(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both texts, those whose whole shingle sets link."""
+    held: tuple[bytes, np.ndarray] = (b"", np.empty(0, np.int64))
+    for batch in source:
+        keep = []
+        for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+            if y != held[0]:
+                held = y, shingles(zlib.decompress(y).decode())
+            one, other = shingles(zlib.decompress(x).decode()), held[1]
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            keep.append(WHOLE * both >= PART * (len(one) + len(other) - both))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
 # --- pairs -----------------------------------------------------------------
@@ -225,15 +242,14 @@ def _bits_fit() -> Column:
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose whole sets link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(sets_of(documents, ids))
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= needed(F.size("sa"), F.size("sb"))).select("a", "b")
+    packed = stored(texts_of(documents, ids))
+    left = packed.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
+    right = packed.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_whole_sets_link, "a long, b long")
 
 
 def met_classes(classes: DataFrame) -> DataFrame:
-    """(token, id, n): classes at the prefix shingles where another group or class is
+    """(token, id): classes at the prefix shingles where another group or class is
     too.  ``classes`` has (id, n, group_sig, prefix, ...)."""
     groups = classes.groupBy("group_sig").agg(F.min("id").alias("group"), F.count("*").alias("members"))
     several = stored(classes.select("id", "group_sig").join(groups.where("members > 1"), "group_sig").select("id", "group"))
@@ -245,7 +261,7 @@ def met_classes(classes: DataFrame) -> DataFrame:
     inside = first.join(several.where("id = group").select("id"), "id", "left_semi").select(F.col("id").alias("group"), F.get("prefix", F.lit(0)).alias("token"))
     rows = stored(met.unionAll(inside).distinct())
     others = rows.join(several.where("id != group"), "group").select("token", "id")
-    return stored(rows.select("token", F.col("group").alias("id")).unionAll(others).join(classes.select("id", "n"), "id").select("token", "id", "n"))
+    return rows.select("token", F.col("group").alias("id")).unionAll(others)
 
 
 def _with_hubs(met: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -297,7 +313,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         # shingles whose classes are all connected have nothing left to tell
         unequal = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
         left = stored(placed.join(unequal, "token", "left_semi"))
-    left = left.join(classes.select("id", "bits"), "id")
+    left = left.join(classes.select("id", "n", "bits"), "id")
     rest = (
         left.alias("a")
         .join(left.alias("b"), "token")
