@@ -11,6 +11,7 @@ One map stage: nothing is shuffled, and a document of any length is a run of row
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import batches, texts, words, worker_memory
+from vettica.llm.common import texts, words, worker_memory
 
 LONGEST = 4096
 END_ID = 2
@@ -58,14 +59,16 @@ class WordIds:
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
-            spelled = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            found = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            self.pieces[text] = found
+            spelled = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.plain.fullmatch(text) and "<|" not in text:
+        if text.isalpha() and text.isascii():
+            return self.piece(text.lower())
+        if "<|" not in text and (text.isascii() and text.isprintable() or self.plain.fullmatch(text)):
             return b"".join(map(self.piece, self.cut.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -73,10 +76,12 @@ class WordIds:
         if len(self.words) > REMEMBERED:
             self.words, self.pieces = {}, {}
         split, known = words(text), self.words
-        for w in split:
-            if w not in known:
-                known[w] = self.word(w)
-        return np.frombuffer(b"".join([known[w] for w in split]), "<u4")
+        found = list(map(known.get, split))
+        if None in found:
+            for at, ids in enumerate(found):
+                if ids is None:
+                    found[at] = known[split[at]] = self.word(split[at])
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def byte_letters() -> list[str]:
@@ -104,17 +109,27 @@ def pack(documents: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: i
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = worker_memory(f"ids {tokenizer}", lambda: WordIds(tokenizer)).of
 
-        def rows() -> Iterator[tuple]:
-            for batch in source:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+        for batch in source:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                docs, starts, lengths, sums, totals, flat = [], [], [], [], [], []
+                for doc, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
                     ids = np.append(ids_of(text), np.array(end_id, "<u4"))
-                    start = 0
+                    raw, start = memoryview(ids).cast("B"), 0
                     for length in piece_lengths(len(ids), longest):
-                        piece = ids[start : start + length]
-                        yield doc, start, length, length.bit_length() - 1, piece.view("<i4"), zlib.crc32(piece), len(ids)
+                        docs.append(doc)
+                        starts.append(start)
+                        lengths.append(length)
+                        sums.append(zlib.crc32(raw[4 * start : 4 * (start + length)]))
+                        totals.append(len(ids))
                         start += length
-
-        yield from batches(rows(), schema, 2_000)
+                    flat.append(ids)
+                if docs:
+                    ends = np.cumsum(lengths)
+                    pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(flat).view("<i4")))
+                    buckets = [n.bit_length() - 1 for n in lengths]
+                    columns = (docs, starts, lengths, buckets, pieces, sums, totals)
+                    yield pa.RecordBatch.from_arrays([c if c is pieces else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return (
         documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
