@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import batches
+from vettica.llm.common import batches, bound_batches
 from vettica.llm.template import compile_template
 
 TEMPLATE = (
@@ -95,6 +95,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     their own.  Loss offsets are code points inside the part's text.  The template
     must end a turn with ``<|im_end|>`` and a line end to be cut and read again.
     Other columns are not read."""
+    bound_batches(conversations)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     schema = pa.schema(
         [("conv_id", pa.string()), ("part", pa.int32()), ("text", pa.large_string()), ("loss_starts", pa.list_(pa.int32())), ("loss_ends", pa.list_(pa.int32()))]

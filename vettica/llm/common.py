@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: What the contracts call white space: blank and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
+
 
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of a key written as text, modulo ``divisor``; a null key counts as ''."""
@@ -60,6 +63,14 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bound_batches(frame: DataFrame) -> SparkSession:
+    """The frame's session, with Arrow batches of at most ``BATCH`` bytes: rows of
+    very long texts then come to Python a few at a time."""
+    spark = frame.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return spark
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of at most ``size`` rows."""
     held: list[tuple] = []
@@ -98,8 +109,11 @@ def regrouped(source: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 def worker_memory(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` returns, made once per Python worker process and kept for its
-    later tasks: vocabularies and what was looked up in them."""
+    later tasks: a vocabulary and what was looked up in it.  A worker keeps the last
+    one only, so that stages which follow each other do not add up."""
     held = sys.modules.setdefault("_vettica_llm_memory", types.ModuleType("_vettica_llm_memory")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    kept = held.get("kept")
+    if kept is None or kept[0] != key:
+        held["kept"] = kept = None  # the old one goes before the new one is made
+        held["kept"] = kept = (key, make())
+    return kept[1]

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import batches, regrouped, texts
+from vettica.llm.common import batches, bound_batches, regrouped, texts
 
 Q = 12
 ERROR = 0.06
 #: Characters of benchmark text in a broadcast block.
 BLOCK = 4_000_000
 #: Bytes of documents whose q-grams are looked up together.
-STRETCH = 4_000_000
+STRETCH = 1_500_000
 _FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Separates documents in a stretch; no character has this code.
@@ -256,7 +256,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, error: float = ERROR)
 
     Null and empty texts and items never match.  Repeated rows and ids are searched
     each on their own.  Other columns are not read.  No item, no row."""
-    spark = documents.sparkSession
+    spark = bound_batches(documents)
     doc_kind, item_kind = documents.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = pa.schema([("doc", pa.string()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
     result = spark.createDataFrame([], "doc string, item string, start long, end long, edits int")
@@ -283,7 +283,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, error: float = ERROR)
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """The rows without any benchmark item, with all their columns: a map stage per
     block, no join, so repeated ids need no care."""
-    spark = documents.sparkSession
+    spark = bound_batches(documents)
     for index in blocks_of(benchmark, error):
         shared = spark.sparkContext.broadcast(tuple(index))
 

@@ -11,6 +11,7 @@ remembered: with this vocabulary no piece crosses a blank.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vettica.llm.common import BLANKS, texts, worker_memory
+from vettica.llm.common import BLANKS, bound_batches, texts, worker_memory
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 10
@@ -27,7 +28,7 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 WINDOW = 5
 #: Words whose pieces a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class Band(NamedTuple):
@@ -83,7 +84,7 @@ class Meter:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def tokens(self, counts: Counter) -> np.ndarray:
         """Token counts of words, given how often each occurs."""
@@ -92,10 +93,10 @@ class Meter:
             known = self.known = {}
         new = [w for w in counts if w not in known]
         if new:
-            known.update(zip(new, (np.array(x, np.int32) for x in self.pieces.encode(new, num_threads=1)), strict=True))
+            known.update(zip(new, (struct.pack(f"<{len(x)}I", *x) for x in self.pieces.encode(new, num_threads=1)), strict=True))
         found = [known[w] for w in counts]
         times = np.fromiter(counts.values(), np.int64, len(counts))
-        return np.bincount(np.concatenate(found), np.repeat(times, [len(x) for x in found]))
+        return np.bincount(np.frombuffer(b"".join(found), "<u4"), np.repeat(times, [len(x) // 4 for x in found]))
 
     def of(self, text: str) -> Measures:
         words = [w.decode() for w in text.encode("utf-8", "replace").split()]
@@ -186,6 +187,7 @@ def judge_quality(documents: DataFrame, vocabulary: str, bands: Mapping[str, Ban
     judged by script.  Repeated rows and rows without doc_id are judged each on
     their own.  Other columns are not read."""
     bands = dict(bands)
+    bound_batches(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +208,7 @@ def judge_quality(documents: DataFrame, vocabulary: str, bands: Mapping[str, Ban
 def keep_quality(documents: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS) -> DataFrame:
     """The rows that ``judge_quality`` keeps, with all their columns, in one pass."""
     bands = dict(bands)
+    bound_batches(documents)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(vocabulary, bands)

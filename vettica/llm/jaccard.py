@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import lower_words, stored, texts, worker_memory
+from vettica.llm.common import bound_batches, lower_words, stored, texts, worker_memory
 from vettica.llm.components import components
 
 SHINGLE = 4
@@ -47,7 +47,7 @@ HUBS = 3
 #: Slots of the filter that finds the texts whose sets are wanted.
 FILTER_BITS = 22
 #: Words whose hash a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -332,6 +332,7 @@ def linked_groups(documents: DataFrame) -> DataFrame:
     their set size and a null component and link nothing.  Repeated rows repeat;
     rows that share an id are one document, linked by any of their texts.  Other
     columns are not read."""
+    bound_batches(documents)
     kind = documents.schema["doc_id"].dataType
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = stored(rows.mapInArrow(_profile, "doc_id long, n int, sig binary, block int, sums binary"))

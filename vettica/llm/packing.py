@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import texts, words, worker_memory
+from vettica.llm.common import bound_batches, texts, words, worker_memory
 
 LONGEST = 4096
 END_ID = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -101,6 +101,7 @@ def pack(documents: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: i
     not read."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
+    bound_batches(documents)
     kind = documents.schema["doc_id"].dataType
     schema = pa.schema(
         [("doc_id", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vettica.llm.bytegrams import looked_up, spelled, summed
-from vettica.llm.common import lower_words, remainder, texts
+from vettica.llm.common import bound_batches, lower_words, remainder, texts
 
 ORDER = 5
 FOLDS = 2
@@ -179,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Each of two folds is scored by the model of the other one, so the curve sees
     values as unseen texts have them; the final weights use both."""
-    spark = documents.sparkSession
+    spark = bound_batches(documents)
     drawn = labelled_sample(documents, labels, sample)
     counted = (
         drawn.mapInArrow(_count, "fold int, toxic int, gram long, n long")
@@ -222,7 +222,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     ``llr`` is the difference per symbol; null and empty texts have 0 and the
     score of that value.  Copies and repeated ids are rows of their own; other
     columns are not read."""
-    shared = documents.sparkSession.sparkContext.broadcast((tuple(model.weights), model.slope, model.offset))
+    shared = bound_batches(documents).sparkContext.broadcast((tuple(model.weights), model.slope, model.offset))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettica.llm.common import batches
+from vettica.llm.common import batches, bound_batches
 
 LEAST_SHARED = 100
 SEGMENT = 65_536
@@ -277,6 +277,7 @@ def archive_pages(pages: DataFrame, path: str, segment: int = SEGMENT) -> DataFr
     revisited.  Rows that share the smallest id of a group are all responses; pages
     without an id revisit it, and are responses where no page of the group has one.
     Repeated rows are records of their own.  Other columns are not read."""
+    bound_batches(pages)
     kind = pages.schema["page_id"].dataType
     write_archives(pages, path, segment)
     read = read_archives(pages.sparkSession, path)
