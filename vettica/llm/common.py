@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Bytes of an Arrow batch.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def remainder(key: str, divisor: int) -> Column:

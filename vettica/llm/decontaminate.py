@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import batches, bound_batches, regrouped, texts
+from vettica.llm.common import batches, bound_batches, regrouped, texts, worker_memory
 
 Q = 12
 ERROR = 0.06
 #: Characters of benchmark text in a broadcast block.
 BLOCK = 4_000_000
 #: Bytes of documents whose q-grams are looked up together.
-STRETCH = 1_500_000
+STRETCH = 750_000
 _FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Separates documents in a stretch; no character has this code.
@@ -289,6 +289,7 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, error: float = ERROR)
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Index(*shared.value)
+            worker_memory("benchmark", dict)  # lets go of the vocabularies of stages before
             for batch in regrouped(source, STRETCH):
                 yield batch.filter(pa.array([not found for found in search(texts(batch), known)], pa.bool_()))
 

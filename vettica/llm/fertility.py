@@ -28,7 +28,7 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 WINDOW = 5
 #: Words whose pieces a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 class Band(NamedTuple):

@@ -25,7 +25,7 @@ from vettica.llm.common import bound_batches, texts, words, worker_memory
 LONGEST = 4096
 END_ID = 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
