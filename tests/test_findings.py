@@ -214,3 +214,10 @@ def test_first_seen_rules(report):
         if row.rule_id not in expected:
             expected.append(row.rule_id)
     assert [r.rule_id for r in sarif.sarif_rules(report).collect()] == expected
+
+
+@pytest.mark.parametrize("score", [None, float("nan")])
+def test_a_missing_score_stops_the_job(spark, score):
+    rows = spark.createDataFrame([("c", score)], "lang string, score double")
+    with pytest.raises(Exception, match="score is missing"):
+        verify.classify(rows).collect()

@@ -44,9 +44,17 @@ def softmax_prob(first: Column, second: Column) -> Column:
 def verdict_columns(
     lang: Column, score: Column, policies: tuple[Policy, ...] = POLICIES
 ) -> dict[str, Column]:
-    """ml_verified, confidence, label and status of a scored candidate."""
+    """ml_verified, confidence, label and status of a scored candidate.
+
+    A supported candidate whose score is null or not a number stops the job: it
+    must not pass as safe.
+    """
     supported = is_supported(lang, policies)
-    value = F.when(supported, score.cast("double"))
+    given = score.cast("double")
+    missing = given.isNull() | F.isnan(given)
+    value = F.when(
+        supported, F.when(missing, F.raise_error(F.lit("score is missing")).cast("double")).otherwise(given)
+    )
     threshold, low, high = (_setting(lang, policies, k) for k in ("threshold", "low", "high"))
     return {
         "ml_verified": supported,

@@ -617,7 +617,7 @@ where o.hash is null or o.hash <> n.hash"""
 select * from (select case when length > 5242880 then 'too large'
                            when not ({NOT_BINARY}) then 'suspected binary' end as reason,
                       count(*) as files, cast(sum(length) as bigint) as bytes
-               from code_corpus group by 1) where reason is not null""",
+               from code_corpus where {PRUNED} group by 1) where reason is not null""",
         ),
         "changed_files": _with(CORPUS, *snapshots, final=change),
         "split_lines": text_lines,
@@ -779,8 +779,8 @@ select (select count(*) from verified) as candidate_count,
             (
                 *snapshots,
                 ("changed", change),
-                ("touched", f"select path, text from code_corpus where {PRUNED}"
-                            f" and length <= 5242880 and {NOT_BINARY}"
+                ("touched", f"select path, text from code_corpus where"
+                            f" length <= 5242880 and {NOT_BINARY}"
                             " and path in (select path from changed)"),
             ),
         ),

@@ -61,14 +61,15 @@ def select_scannable(corpus: DataFrame) -> DataFrame:
 
 
 def skip_report(corpus: DataFrame) -> DataFrame:
-    """How many files, and bytes, each reason left out."""
+    """How many files, and bytes, each reason left out, outside pruned directories."""
     reason = (
         F.when(F.col("length").isNull() | F.col("content").isNull(), "unreadable")
         .when(is_too_large(F.col("length")), "too large")
         .when(is_binary(F.col("content")), "suspected binary")
     )
     return (
-        corpus.select(reason.alias("reason"), "length")
+        prune_dirs(corpus)
+        .select(reason.alias("reason"), "length")
         .filter(F.col("reason").isNotNull())
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
