@@ -179,41 +179,65 @@ def check_document(document, rows):
     assert [r["message"]["text"] for r in run["results"]] == [o[-1] for o in sorted(order)]
 
 
+def document_in(folder):
+    parts = sorted(folder.glob("part-*"))
+    return "".join(part.read_text(encoding="utf-8") for part in parts)
+
+
 def test_one_document_from_lines(report, tmp_path):
-    sarif.write_report(report, str(tmp_path / "report"))
-    parts = sorted((tmp_path / "report").glob("part-*"))
-    text = "".join(part.read_text(encoding="utf-8") for part in parts)
-    check_document(json.loads(text), report.collect())
+    stored = sarif.store_findings(report, str(tmp_path / "findings"))
+    sarif.write_report(stored, str(tmp_path / "report"), tool='audit "x"')
+    text = document_in(tmp_path / "report")
+    document = json.loads(text)
+    check_document(document, report.collect())
+    assert document["runs"][0]["tool"]["driver"]["name"] == 'audit "x"'
     assert "IOSFODNN7EXAMPLE" not in text and "AKIA****" in text
 
 
+def test_equal_positions_make_one_first_line(report, tmp_path):
+    stored = sarif.store_findings(report.unionAll(report).unionAll(report), str(tmp_path / "findings"))
+    sarif.write_report(stored, str(tmp_path / "report"))
+    document = json.loads(document_in(tmp_path / "report"))
+    assert len(document["runs"][0]["results"]) == 3 * report.count()
+    rules = [r["id"] for r in document["runs"][0]["tool"]["driver"]["rules"]]
+    assert len(rules) == len(set(rules)) == report.select("rule_id").distinct().count()
+
+
 def test_empty_report(report, tmp_path):
-    sarif.write_report(report.limit(0), str(tmp_path / "report"))
-    parts = sorted((tmp_path / "report").glob("part-*"))
-    document = json.loads("".join(p.read_text() for p in parts))
-    assert document["runs"][0]["results"] == []
+    stored = sarif.store_findings(report.limit(0), str(tmp_path / "findings"))
+    sarif.write_report(stored, str(tmp_path / "report"))
+    assert json.loads(document_in(tmp_path / "report"))["runs"][0]["results"] == []
 
 
-def test_documents_per_run(report):
+def test_a_document_per_run(report, tmp_path):
     named = sarif.with_run(report, F.substring_index("path", "/", 1))
     rows = named.collect()
-    whole = {r.run_id: r for r in sarif.sarif_documents(named).collect()}
-    assert set(whole) == {"r1", "r2"}
-    for run, row in whole.items():
-        check_document(json.loads(row.document), [r for r in rows if r.run_id == run])
-    split = sarif.sarif_documents(named, max_results=10).collect()
-    total = sum(len(json.loads(r.document)["runs"][0]["results"]) for r in split)
-    assert total == len(rows) and len({r.part for r in split if r.run_id == "r1"}) > 2
-    assert [r.parts for r in split if r.run_id == "r2"] == [1]
+    stored = sarif.store_findings(named, str(tmp_path / "findings"))
+    sarif.write_run_reports(stored, str(tmp_path / "reports"))
+    folders = {p.name.removeprefix("run_id="): p for p in (tmp_path / "reports").glob("run_id=*")}
+    assert set(folders) == {"r1", "r2"}
+    for run, folder in folders.items():
+        check_document(json.loads(document_in(folder)), [r for r in rows if r.run_id == run])
+
+
+def test_reports_read_stored_findings_only(report, tmp_path):
+    stored = sarif.store_findings(sarif.with_run(report, F.lit("r")), str(tmp_path / "findings"))
+    for lines in (sarif.sarif_lines(stored), sarif.sarif_run_lines(stored), sarif.sarif_rules(stored)):
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        leaves = [line for line in plan.splitlines() if "Relation [" in line or "LogicalRDD" in line]
+        assert leaves and all("parquet" in line for line in leaves)
+    physical = sarif.sarif_lines(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in physical and "SortMergeJoin" not in physical
 
 
-def test_first_seen_rules(report):
+def test_first_seen_rules(report, tmp_path):
     rows = report.collect()
     expected = []
     for row in sorted(rows, key=lambda r: (r.layer, r.path, r.start_line, r.start_column, r.rule_order)):
         if row.rule_id not in expected:
             expected.append(row.rule_id)
-    assert [r.rule_id for r in sarif.sarif_rules(report).collect()] == expected
+    stored = sarif.store_findings(report, str(tmp_path / "findings"))
+    assert [r.rule_id for r in sarif.sarif_rules(stored).collect()] == expected
 
 
 @pytest.mark.parametrize("score", [None, float("nan")])

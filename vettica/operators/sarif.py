@@ -1,12 +1,14 @@
 """SARIF 2.1.0 reports.
 
-A report is never gathered into one row without a bound.  ``sarif_lines`` gives
-a document of any size as ordered text lines; ``sarif_documents`` gives whole
-documents per run, splitting a run into several once it exceeds a bound.
+Findings are stored once, in report order, by ``store_findings``; rules, results and
+the frame of a report read that table and never the scan again.  A document of any
+size is a set of text lines, so nothing is gathered into one row.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,24 @@ SARIF_SCHEMA = (
     "sarif-schema-2.1.0.json"
 )
 TOOL_NAME = "vettica"
-MAX_RESULTS = 25_000
 
 ORDER = ("layer", "path", "start_line", "start_column", "rule_order")
 
 
-def _position() -> Column:
-    return F.struct(*ORDER)
+def store_findings(findings: DataFrame, folder: str) -> DataFrame:
+    """The findings written to ``folder`` in report order and read again, with a
+    bigint ``seq`` that rises in that order and is different for every row.
+
+    One range sort, which also settles the order of findings at one position."""
+    ordered = findings.orderBy(*ORDER).withColumn("seq", F.monotonically_increasing_id())
+    ordered.write.mode("errorifexists").parquet(folder)
+    return findings.sparkSession.read.schema(ordered.schema).parquet(folder)
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
-    """One row per rule with where it is first seen, in that order."""
-    first = findings.groupBy("rule_id").agg(F.min(_position()).alias("first_seen"))
-    return first.orderBy("first_seen").select("rule_id", "first_seen.*")
+def sarif_rules(stored: DataFrame) -> DataFrame:
+    """One row per rule of stored findings with where it is first seen, in that order."""
+    first = stored.groupBy("rule_id").agg(F.min("seq").alias("seq"))
+    return stored.join(first, ["rule_id", "seq"]).orderBy("seq").select("rule_id", *ORDER)
 
 
 def _rule() -> Column:
@@ -74,108 +81,65 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(*ORDER, F.to_json(_result()).alias("result"))
 
 
-def _with_commas(entries: DataFrame) -> DataFrame:
-    """Put a comma before every entry but the first of its section."""
-    first = entries.groupBy("section").agg(F.min("at").alias("at")).withColumn(
-        "is_first", F.lit(True)
-    )
-    # one row per section, so never more than two
-    marked = entries.join(F.broadcast(first), ["section", "at"], "left")
-    return marked.select(
-        "section",
-        "at",
-        F.concat(F.when(F.col("is_first"), "").otherwise(","), "line").alias("line"),
-    )
-
-
-def sarif_lines(findings: DataFrame, tool: str = TOOL_NAME) -> DataFrame:
-    """One document over all findings as text lines, to be read in the order
-    of (section, at).  Nothing is gathered, so its size is not bounded."""
-    head = (
-        f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":'
-        f'[{{"tool":{{"driver":{{"name":"{tool}","rules":['
-    )
-    frame = findings.sparkSession.createDataFrame(
-        [(0, head), (2, ']}},"results":['), (4, "]}]}")], "section int, line string"
+def sarif_lines(stored: DataFrame, tool: str = TOOL_NAME) -> DataFrame:
+    """One document over all stored findings as text lines (section, at, line), to be
+    read in the order of (section, at)."""
+    first = stored.select(F.min("seq")).scalar()
+    frame = stored.agg(F.min("seq").alias("first"))
+    return _lines(stored, frame, F.col("at") == first, [], tool)
+
+
+def sarif_run_lines(stored: DataFrame, tool: str = TOOL_NAME) -> DataFrame:
+    """A document for each ``run_id`` of stored findings as text lines (run_id,
+    section, at, line), however large the run; null is a run of its own."""
+    runs = stored.groupBy("run_id").agg(F.min("seq").alias("first"))
+    # seq is different for every row, so this join has no hot key
+    marked = stored.join(runs.select(F.col("first").alias("seq"), F.lit(True).alias("_opens")), "seq", "left")
+    return _lines(marked, runs, F.coalesce("_opens", F.lit(False)), ["run_id"], tool)
+
+
+def _lines(stored: DataFrame, documents: DataFrame, opens: Column, by: list[str], tool: str) -> DataFrame:
+    """The lines of the documents named by ``by``; ``opens`` marks the lowest ``seq``
+    of a document, whose result, like its rule, has no comma before it."""
+    name = json.dumps(tool, ensure_ascii=False)
+    frame = [
+        (0, f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":'
+            f'[{{"tool":{{"driver":{{"name":{name},"rules":['),
+        (2, ']}},"results":['),
+        (4, "]}]}"),
+    ]
+    parts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(t).alias("line")) for n, t in frame])
+    outer = documents.select(*by, F.inline(parts)).withColumn("at", F.lit(None).cast("bigint"))
+    comma = F.when(opens, "").otherwise(",")
+    marked = stored.withColumnRenamed("seq", "at").withColumn("_comma", comma)
+    results = marked.select(
+        *by, F.lit(3).alias("section"), "at", F.concat("_comma", F.to_json(_result())).alias("line")
     )
+    # the rule of the first finding is the first rule; only it can miss the comma
     rules = (
-        findings.groupBy("rule_id")
-        .agg(F.min(_position()).alias("at"))
-        .select(F.lit(1).alias("section"), "at", F.to_json(_rule()).alias("line"))
-    )
-    results = findings.select(
-        F.lit(3).alias("section"), _position().alias("at"), F.to_json(_result()).alias("line")
-    )
-    return _with_commas(rules.unionByName(results)).unionByName(frame, allowMissingColumns=True)
-
-
-def sarif_documents(
-    findings: DataFrame, tool: str = TOOL_NAME, max_results: int = MAX_RESULTS
-) -> DataFrame:
-    """(run_id, part, parts, document): whole documents for each ``run_id``.
-
-    A run with more than about ``max_results`` findings is spread over several
-    documents, each complete in itself, so no group outgrows one task.
-    """
-    large = (
-        findings.groupBy("run_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > max_results)
-        .select("run_id", F.ceil(F.col("n") / max_results).cast("int").alias("parts"))
-    )
-    parts = F.coalesce("parts", F.lit(1))
-    placed = findings.join(large, "run_id", "left").select(
-        "run_id",
-        parts.alias("parts"),
-        F.pmod(F.xxhash64(*ORDER), parts).cast("int").alias("part"),
-        F.struct(
-            _position().alias("at"), F.col("rule_id"), _result().alias("result")
-        ).alias("entry"),
-    )
-    entries = F.array_sort(F.collect_list("entry"))
-    rule_ids = F.array_distinct(F.transform("entries", lambda e: e["rule_id"]))
-    run = F.struct(
-        F.struct(
-            F.struct(
-                F.lit(tool).alias("name"),
-                F.transform(
-                    rule_ids,
-                    lambda rule: F.struct(
-                        rule.alias("id"),
-                        F.struct(rule.alias("text")).alias("shortDescription"),
-                    ),
-                ).alias("rules"),
-            ).alias("driver")
-        ).alias("tool"),
-        F.transform("entries", lambda e: e["result"]).alias("results"),
-    )
-    document = F.struct(
-        F.lit(SARIF_SCHEMA).alias("$schema"),
-        F.lit(SARIF_VERSION).alias("version"),
-        F.array(run).alias("runs"),
-    )
-    return (
-        placed.groupBy("run_id", "parts", "part")
-        .agg(entries.alias("entries"))
-        .select("run_id", "part", "parts", F.to_json(document).alias("document"))
+        marked.groupBy(*by, "rule_id")
+        .agg(F.min("at").alias("at"), F.min(F.length("_comma")).alias("_commas"))
+        .select(
+            *by,
+            F.lit(1).alias("section"),
+            "at",
+            F.concat(F.when(F.col("_commas") == 0, "").otherwise(","), F.to_json(_rule())).alias("line"),
+        )
     )
+    return outer.unionByName(rules).unionByName(results)
 
 
-def write_report(findings: DataFrame, folder: str, tool: str = TOOL_NAME) -> None:
-    """Store one report over all findings.  The text files of the folder, in
-    the order of their names, are the document."""
-    lines = sarif_lines(findings, tool).orderBy("section", "at")
+def write_report(stored: DataFrame, folder: str, tool: str = TOOL_NAME) -> None:
+    """One report over all stored findings.  The text files of the folder, in the
+    order of their names, are the document."""
+    lines = sarif_lines(stored, tool).orderBy("section", "at")
     lines.select("line").write.mode("errorifexists").text(folder)
 
 
-def write_documents(
-    findings: DataFrame, folder: str, tool: str = TOOL_NAME, max_results: int = MAX_RESULTS
-) -> None:
-    """Store the documents of each run under ``run_id=.../``, one per line."""
-    documents = sarif_documents(findings, tool, max_results)
-    documents.select("run_id", "document").write.mode("errorifexists").partitionBy(
-        "run_id"
-    ).text(folder)
+def write_run_reports(stored: DataFrame, folder: str, tool: str = TOOL_NAME) -> None:
+    """A report for each run under ``run_id=.../``, each as by :func:`write_report`."""
+    lines = sarif_run_lines(stored, tool).orderBy("run_id", "section", "at")
+    lines.select("run_id", "line").write.mode("errorifexists").partitionBy("run_id").text(folder)
 
 
 def with_run(findings: DataFrame, run_id: Column) -> DataFrame:

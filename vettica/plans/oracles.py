@@ -478,15 +478,56 @@ SINK_FINDING_COLUMNS = f"""
 2 as layer, path, line as start_line, "column" as start_column, rule_no as rule_order,
 concat('sink/', sink_name) as rule_id, {MESSAGE} as message, severity,
 coalesce(confidence, cast(0 as double)) as confidence"""
+#: What follows the confidence among the properties of a sink finding.
+SINK_PROPERTIES = """
+concat(case when cwe <> '' then
+         concat(',"cwe":', cast(to_json(string_split(replace(cwe, ', ', ','), ',')) as varchar)) end,
+       ',"ml_verified":', cast(ml_verified as varchar),
+       case when ml_verified then concat(',"status":"', status, '"') end,
+       case when label is not null then concat(',"label":', cast(label as varchar)) end,
+       case when low_confidence_category then ',"low_confidence_category":true' end,
+       case when note is not null then concat(',"note":', cast(to_json(note) as varchar)) end)"""
 FINDINGS = [
     DECIDED,
     OVERRIDDEN,
     (
         "findings",
-        f"select {SECRET_FINDING_COLUMNS} from hits"
-        f" union all select {SINK_FINDING_COLUMNS} from overridden",
+        f"select {SECRET_FINDING_COLUMNS}, '' as properties from hits"
+        f" union all select {SINK_FINDING_COLUMNS}, {SINK_PROPERTIES} as properties from overridden",
     ),
 ]
+RESULT = """
+concat('{"ruleId":', cast(to_json(rule_id) as varchar), ',"level":"', severity,
+       '","message":{"text":', cast(to_json(message) as varchar),
+       '},"locations":[{"physicalLocation":{"artifactLocation":{"uri":',
+       cast(to_json(path) as varchar), '},"region":{"startLine":', cast(start_line as varchar),
+       ',"startColumn":', cast(start_column as varchar), '}}}],"properties":{"confidence":',
+       cast(confidence as varchar), properties, '}}')"""
+RULE = """concat('{"id":', cast(to_json(rule_id) as varchar), ',"shortDescription":{"text":',
+       cast(to_json(rule_id) as varchar), '}}')"""
+POSITION = "layer, path, start_line, start_column, rule_order"
+
+
+def report_lines(run: str) -> str:
+    """The lines of a document for each value of ``run`` over the findings."""
+    head = (
+        '{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/'
+        'sarif-schema-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"vettica","rules":['
+    )
+    return f"""
+select run_id, section, line from
+  (select distinct {run} as run_id from findings),
+  (values (0, '{head}'), (2, ']}}}},"results":['), (4, ']}}]}}')) frame(section, line)
+union all
+select run_id, 1, concat(case when n > 1 then ',' else '' end, {RULE}) from (
+  select run_id, rule_id, row_number() over (partition by run_id order by {POSITION}) as n from (
+    select {run} as run_id, *, row_number() over (partition by {run}, rule_id order by {POSITION}) as k
+    from findings) where k = 1)
+union all
+select run_id, 3, concat(case when n > 1 then ',' else '' end, {RESULT}) from (
+  select {run} as run_id, *, row_number() over (partition by {run} order by {POSITION}) as n from findings)"""
+
+
 FINDING_OUTPUT = (
     "select layer, path, start_line, start_column, rule_order, rule_id, message, severity,"
     " confidence from findings"
@@ -756,6 +797,9 @@ select vec_id, round({probability}, 9) as probability from (
             " 'path': path, 'start_line': start_line, 'start_column': start_column,"
             " 'rule_order': rule_order}) as first from findings group by rule_id)"
         ),
+        "sarif_results": on_findings(f"select {POSITION}, {RESULT} as result from findings"),
+        "sarif_report": on_findings(report_lines("string_split(path, '/')[1]")),
+        "sarif_write": on_findings(f"select line from ({report_lines('1')})"),
         "unsupported_warning": _with(
             *SCORED, verdicts("routed"), final=f"select {warning()} as warning from verified"
         ),

@@ -68,6 +68,16 @@ def reported(spark: SparkSession, folder: str) -> DataFrame:
     return findings.all_findings(secret_hits(spark, folder), verified(spark, folder))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The reported findings, a run for each first part of a path, in report order."""
+    run = F.substring_index("path", "/", 1)
+    return sarif.store_findings(sarif.with_run(reported(spark, folder), run), _scratch(spark, "findings"))
+
+
 def with_stand_in_scores(rows: DataFrame) -> DataFrame:
     """Scores that depend on the candidate, in place of a model."""
     mixed = F.length("snippet") * 37 + F.col("line") * 11 + F.col("column")
@@ -177,8 +187,15 @@ def cascade(spark: SparkSession, folder: str) -> DataFrame:
     return _cascade(scannable(spark, folder)).select(*FINDING_COLUMNS)
 
 
+def _sarif_write(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the files written."""
+    target = _scratch(spark, "report")
+    sarif.write_report(stored(spark, folder), target)
+    return spark.read.text(target).withColumnRenamed("value", "line")
+
+
 def _streaming_scan(spark: SparkSession, folder: str) -> DataFrame:
-    base = f"{checkpoint_root(spark)}/scan-{uuid.uuid4().hex}"
+    base = _scratch(spark, "scan")
     scannable(spark, folder).write.parquet(f"{base}/corpus")
     arriving = read_corpus_stream(spark, f"{base}/corpus")
     query = start_scan(_cascade, arriving, f"{base}/findings", "findings", f"{base}/log")
@@ -287,12 +304,10 @@ def queries() -> dict[str, Query]:
         ).select("candidate_id", "severity", "low_confidence_category", "note", "confidence"),
         "finding_messages": _messages,
         "all_findings": _project(reported, *FINDING_COLUMNS),
-        "sarif_rules": lambda s, d: sarif.sarif_rules(reported(s, d)),
+        "sarif_rules": lambda s, d: sarif.sarif_rules(stored(s, d)),
         "sarif_results": lambda s, d: sarif.sarif_results(reported(s, d)),
-        "sarif_report": lambda s, d: sarif.sarif_documents(
-            sarif.with_run(reported(s, d), F.substring_index("path", "/", 1)), max_results=2000
-        ),
-        "sarif_write": lambda s, d: sarif.sarif_lines(reported(s, d)).select("section", "line"),
+        "sarif_report": lambda s, d: sarif.sarif_run_lines(stored(s, d)).select("run_id", "section", "line"),
+        "sarif_write": _sarif_write,
         "unsupported_warning": lambda s, d: findings.unsupported_warning(verified(s, d)),
         "scan_summary": lambda s, d: findings.scan_summary(secret_hits(s, d), verified(s, d)),
         "cascade": cascade,
