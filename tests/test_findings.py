@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from vettica.functions.policy import POLICIES, policy_table
 from vettica.operators import findings, sarif, secrets, verify
+from vettica.plans.cascade import cascade
+from vettica.streaming.scan import read_corpus_stream, start_scan
 
 SCHEMA = (
     "candidate_id string, path string, lang string, line int, column int, sink_name string,"
@@ -143,6 +145,31 @@ def test_scorers_see_supported_rows_in_batches(spark):
         assert row.score == expected and by_key.get(row.candidate_id) == expected
 
 
+def test_a_stream_is_scored_as_a_batch_and_loads_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as file:
+            file.write(f"{os.getpid()}\n")
+        return lambda snippets, langs: [len(s) % 7 / 7 for s in snippets]
+
+    def scan(corpus):
+        return cascade(corpus, lambda c: verify.score_in_place(c, load))
+
+    files = [(f"d{i}.c", "void f(char *a) {" + " " * i + "strcpy(a, a); }") for i in range(40)]
+    spark.createDataFrame(files, "path string, text string").repartition(20).write.parquet(str(tmp_path / "in"))
+    want = sorted(map(str, scan(spark.read.parquet(str(tmp_path / "in"))).collect()))
+    (tmp_path / "loads").write_text("")
+    arriving = read_corpus_stream(spark, str(tmp_path / "in"), files_per_batch=5)
+    start_scan(scan, arriving, str(tmp_path / "out"), "scored", str(tmp_path / "log")).awaitTermination()
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == want and want
+    workers = (tmp_path / "loads").read_text().split()
+    assert len(workers) == len(set(workers))
+
+
 def test_softmax_is_stable(spark):
     rows = spark.createDataFrame([(1000.0, 1001.0), (0.0, 0.0), (-800.0, 800.0)], "a double, b double")
     found = [r[0] for r in rows.select(verify.softmax_prob(F.col("a"), F.col("b"))).collect()]

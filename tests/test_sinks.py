@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vettica.functions.sink_rules import SINK_RULES, SinkRule, rules_from, rules_table
+from vettica.functions.sink_rules import SINK_RULES, SinkRule, rules_table
 from vettica.operators import sinks
 from vettica.operators.tokens import code_tokens
 
@@ -212,12 +212,27 @@ def test_duplicate_rules_and_files_are_kept(corpus):
 def test_rules_are_data(spark, corpus):
     table = rules_table(spark)
     assert table.count() == 27
-    assert set(rules_from(table)) == set(SINK_RULES)
+    files = corpus({
+        "a.c": "void f(char *a) { strcpy(a, a); system(a); }\nint x = free(p);",
+        "b.py": "import os\ndef g(q):\n    os.system(q)\n    eval(q)\n",
+        "c.java": 'class A { void m() { MessageDigest.getInstance("MD5"); rt.exec(c); } }',
+    })
+    literal, joined = (sorted(map(str, sinks.sink_candidates(files, r).collect())) for r in (SINK_RULES, table))
+    assert literal == joined and len(literal) > 4
     mine = (SinkRule("c", 1, "call", "^danger", cwe=("CWE-1",)),)
     rows = found(corpus, "a.c", "void f() { dangerous(1); strcpy(a, b); }", rules=mine)
     assert [(r.sink_name, r.cwe) for r in rows.values()] == [("dangerous", ["CWE-1"])]
 
 
+def test_a_large_rules_table_is_joined(spark, corpus):
+    many = spark.range(20_000).selectExpr(
+        "'c' as lang", "cast(id as int) as rule_no", "'call' as form", "concat('^risky', id, '$') as name",
+        "cast(null as string) as target", "'' as args", "array('CWE-1') as cwe",
+    )
+    rows = sinks.sink_candidates(corpus({"a.c": "void f() { risky7(1); risky19999(2); safe(3); }"}), many).collect()
+    assert sorted((r.sink_name, r.rule_no) for r in rows) == [("risky19999", 19999), ("risky7", 7)]
+
+
 def test_call_forms(corpus):
     rows = sinks.call_sites(
         corpus(

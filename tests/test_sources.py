@@ -71,7 +71,7 @@ def test_tree_is_read_whole(spark, tmp_path):
     (tmp_path / "tree" / "link.c").symlink_to(tmp_path / "tree" / "empty.py")
     (tmp_path / "tree" / "big.bin").write_bytes(b"x" * (corpora.MAX_FILE_BYTES + 1))
     root = str(tmp_path / "tree")
-    rows = {r.path[len(root) + 1 :]: r for r in load_tree(spark, root, 4).collect()}
+    rows = {r.path[len(root) + 1 :]: r for r in load_tree(spark, root, 4, max_bytes=corpora.MAX_FILE_BYTES).collect()}
     expected = {n for n in files if "skip" not in n} | {"big.bin"}
     assert set(rows) == expected
     for name in expected - {"big.bin"}:
@@ -153,3 +153,23 @@ def test_filters_reach_the_scan(spark, files, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,5242880)" in text
     assert "ReadSchema: struct<path:string,length:bigint>" in text
+
+
+def test_directories_of_the_root_do_not_count(spark, tmp_path):
+    root = tmp_path / ".work" / "venv" / "repo"
+    for name in ("src/a.c", ".git/b.c", "src/venv/c.c"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("int x;")
+    loaded = load_tree(spark, str(root), 2)
+    kept = corpora.select_scannable(loaded, str(root)).collect()
+    assert [r.path for r in kept] == [f"{root}/src/a.c"]
+    assert kept[0].content == b"int x;"
+
+
+def test_limits_are_arguments(spark):
+    rows = spark.createDataFrame(
+        [("a", b"xxxx\0", 5), ("b", b"\0", 1), ("c", None, None)], "path string, content binary, length long"
+    )
+    assert [r.path for r in corpora.select_scannable(rows, max_bytes=9, sniffed_bytes=4).collect()] == ["a"]
+    report = {r.reason: r.files for r in corpora.skip_report(rows, max_bytes=4).collect()}
+    assert report == {"too large": 1, "suspected binary": 1, "unreadable": 1}

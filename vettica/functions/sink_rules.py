@@ -8,8 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
-
 
 class SinkRule(NamedTuple):
     """One rule.  ``form`` is the shape of the call (see ``call_sites``);
@@ -114,13 +112,26 @@ def rules_table(spark: SparkSession, rules: tuple[SinkRule, ...] = SINK_RULES) -
     return spark.createDataFrame([(*rule[:6], list(rule.cwe)) for rule in rules], RULES_SCHEMA)
 
 
-def rules_from(table: DataFrame) -> tuple[SinkRule, ...]:
-    """Rules kept in a table of the same columns.  They become literal
-    patterns in the plan, so the table has to be a small one."""
-    rows = table.select(*SinkRule._fields).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rules table holds at most {MAX_RULES} rows")
-    return tuple(SinkRule(*row[:6], tuple(row["cwe"])) for row in rows)
+def join_rules(calls: DataFrame, table: DataFrame) -> DataFrame:
+    """Calls (``lang`` and a struct ``call``) with ``rule_no`` and ``cwe`` of each rule
+    of a table that they satisfy.
+
+    Joined by language and form, with the patterns as the rest of the condition;
+    nothing passes through the driver, and Spark broadcasts the table only below its
+    own limit.  Null patterns match everything, as empty ones do.
+    """
+    shapes = F.when(F.col("form") == "method", F.array(F.lit("call"), F.lit("member"))).otherwise(F.array("form"))
+    rules = table.select(
+        "lang",
+        F.explode(shapes).alias("_form"),
+        *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("name", "target", "args")],
+        "rule_no",
+        F.coalesce("cwe", F.array().cast("array<string>")).alias("cwe"),
+    )
+    call = F.col("call")
+    hits = [F.rlike(call[c], F.col(f"_{c}")) for c in ("name", "target", "args")]
+    met = calls.withColumn("_form", call["form"]).join(rules, ["lang", "_form"])
+    return met.filter(hits[0] & hits[1] & hits[2]).drop("_form", "_name", "_target", "_args")
 
 
 def name_filter(rules: tuple[SinkRule, ...], lang: str) -> str:

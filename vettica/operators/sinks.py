@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vettica.functions.languages import rule_language
-from vettica.functions.sink_rules import SINK_RULES, SinkRule, matching_rules, name_filter, text_filter
+from vettica.functions.sink_rules import (
+    SINK_RULES,
+    SinkRule,
+    join_rules,
+    matching_rules,
+    name_filter,
+    text_filter,
+)
 from vettica.functions.text import bytes_as_chars, chars_as_text, strip
 from vettica.operators.code_scan import LANGUAGES, extent, scan_code
 
@@ -124,21 +131,28 @@ def function_spans(corpus: DataFrame) -> DataFrame:
 
 
 def sink_candidates(
-    corpus: DataFrame, rules: tuple[SinkRule, ...] = SINK_RULES
+    corpus: DataFrame, rules: tuple[SinkRule, ...] | DataFrame = SINK_RULES
 ) -> DataFrame:
     """One row per call and rule it satisfies, with the text of the innermost
-    function around it, or the stripped line where there is none."""
+    function around it, or the stripped line where there is none.
+
+    Rules as a tuple are part of the plan and drop texts without any wanted name
+    early; rules as a table (see ``rules_table``) are joined, any number of them."""
     call = F.col("call")
-    hits: Column = matching_rules(
-        rules, F.col("lang"), call["form"], call["name"], call["target"], call["args"]
+    listed = isinstance(rules, tuple)
+    calls = _units(_scanned(corpus, rules if listed else None)).select(
+        "path", "lang", "function_line", "function_end_line", "snippet",
+        F.explode("calls").alias("call"),
     )
-    return (
-        _units(_scanned(corpus, rules))
-        .select(
-            "path", "lang", "function_line", "function_end_line", "snippet",
-            F.explode("calls").alias("call"),
+    if listed:
+        hits: Column = matching_rules(
+            rules, F.col("lang"), call["form"], call["name"], call["target"], call["args"]
         )
-        .select("*", F.inline(hits))
+        met = calls.select("*", F.inline(hits))
+    else:
+        met = join_rules(calls, rules)
+    return (
+        met
         .select(
             candidate_id(call["line"], call["start_column"]).alias("candidate_id"),
             "path",

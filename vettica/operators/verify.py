@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +15,8 @@ NOT_SUPPORTED = "ML_NOT_SUPPORTED"
 UNCERTAIN = "UNCERTAIN_NEEDS_REVIEW"
 SETTLED = "OK"
 DEFAULT_BATCH = 32
+ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 16 << 20
 
 Scorer = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
 
@@ -89,6 +92,47 @@ def verify_candidates(
     return classify(joined.withColumn("score", checked), policies).drop("score")
 
 
+def _bounded(candidates: DataFrame) -> DataFrame:
+    """The same rows, after the session's Arrow batches are held to ``ARROW_BYTES``:
+    a batch of whole functions is then bounded by bytes and not by rows alone."""
+    conf = candidates.sparkSession.conf
+    if int(conf.get(ARROW_SETTING, str(ARROW_BYTES + 1))) > ARROW_BYTES:
+        conf.set(ARROW_SETTING, str(ARROW_BYTES))
+    return candidates
+
+
+def _ordered_scorer(
+    load_scorer: Callable[[], Scorer], batch_size: int
+) -> Callable[[Sequence[str], Sequence[str]], list[float]]:
+    """Scores of any number of snippets, asked for in batches of similar length.
+
+    The scorer is loaded once per worker process and kept for its later tasks; a
+    worker keeps the last one.  What is returned travels by value.
+    """
+    key = uuid.uuid4().hex
+
+    def run(snippets: Sequence[str], langs: Sequence[str]) -> list[float]:
+        import sys
+        import types
+
+        place = sys.modules.setdefault("_vettica_scorer", types.ModuleType("_vettica_scorer")).__dict__
+        if place.get("key") != key:
+            place.pop("scorer", None)
+            place.update(scorer=load_scorer(), key=key)
+        order = sorted(range(len(snippets)), key=lambda i: len(snippets[i] or ""))
+        scores: list = [None] * len(order)
+        for at in range(0, len(order), batch_size):
+            rows = order[at : at + batch_size]
+            found = list(place["scorer"]([snippets[i] for i in rows], [langs[i] for i in rows]))
+            if len(found) != len(rows):
+                raise ValueError("the scorer must return one score per snippet")
+            for i, value in zip(rows, found):
+                scores[i] = value
+        return scores
+
+    return run
+
+
 def score_batches(
     candidates: DataFrame,
     load_scorer: Callable[[], Scorer],
@@ -97,29 +141,22 @@ def score_batches(
 ) -> DataFrame:
     """(candidate_id, score) of the supported candidates.
 
-    ``load_scorer`` runs once per task and returns a function from a batch of
-    snippets and their languages to scores.  Rows are ordered by length within
-    their partition first, so that one long snippet does not pad a whole batch.
+    ``load_scorer`` runs once per worker process and returns a function from a batch
+    of snippets and their languages to scores.  Within an Arrow batch rows are asked
+    for by length, so that one long snippet does not pad a whole batch.
     """
+    score = _ordered_scorer(load_scorer, batch_size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = None
         for rows in batches:
-            for at in range(0, len(rows), batch_size):
-                part = rows.iloc[at : at + batch_size]
-                if score is None:
-                    score = load_scorer()
-                values = list(score(part["snippet"].tolist(), part["lang"].tolist()))
-                if len(values) != len(part):
-                    raise ValueError("the scorer must return one score per snippet")
-                yield pd.DataFrame(
-                    {"candidate_id": part["candidate_id"].tolist(), "score": values}
-                )
+            if len(rows):
+                values = score(rows["snippet"].tolist(), rows["lang"].tolist())
+                yield pd.DataFrame({"candidate_id": rows["candidate_id"].tolist(), "score": values})
 
     return (
-        candidates.filter(is_supported(F.col("lang"), policies))
+        _bounded(candidates)
+        .filter(is_supported(F.col("lang"), policies))
         .select("candidate_id", "snippet", "lang")
-        .sortWithinPartitions(F.length("snippet"))
         .mapInPandas(run, "candidate_id string, score double")
     )
 
@@ -133,26 +170,18 @@ def score_in_place(
     """The candidates with a ``score`` column, null where none is supported.
 
     Same contract as :func:`score_batches`, but only snippet and language travel
-    to Python and nothing is joined back.
+    to Python and nothing is joined back or sorted, so streams can use it too.
     """
+    score = _ordered_scorer(load_scorer, batch_size)
 
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        score = None
         for snippets, langs in parts:
             values = pd.Series([None] * len(snippets), dtype="float64")
             wanted = langs.reset_index(drop=True).dropna().index
-            for at in range(0, len(wanted), batch_size):
-                rows = wanted[at : at + batch_size]
-                if score is None:
-                    score = load_scorer()
-                found = list(score(snippets.iloc[rows].tolist(), langs.iloc[rows].tolist()))
-                if len(found) != len(rows):
-                    raise ValueError("the scorer must return one score per snippet")
-                values.iloc[rows] = found
+            if len(wanted):
+                values.iloc[wanted] = score(snippets.iloc[wanted].tolist(), langs.iloc[wanted].tolist())
             yield values
 
     asked = F.when(is_supported(F.col("lang"), policies), F.col("lang"))
-    return candidates.sortWithinPartitions(F.length("snippet")).withColumn(
-        "score", run(F.col("snippet"), asked)
-    )
+    return _bounded(candidates).withColumn("score", run(F.col("snippet"), asked))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vettica.functions.text import decode_utf8
 
-# Directories never entered, largest file, bytes looked at.
+# Directories never entered; the defaults of the largest file and of
+# the bytes looked at.
 SKIPPED_DIRECTORIES = ("node_modules", "__pycache__", "venv", ".venv")
 MAX_FILE_BYTES = 5 * 1024 * 1024
 SNIFFED_BYTES = 8192
@@ -28,26 +29,34 @@ def in_skipped_directory(path: Column) -> Column:
     )
 
 
-def is_too_large(length: Column) -> Column:
-    return length > MAX_FILE_BYTES
+def is_too_large(length: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
+    return length > max_bytes
 
 
-def is_binary(content: Column) -> Column:
+def is_binary(content: Column, sniffed_bytes: int = SNIFFED_BYTES) -> Column:
     """Whether a NUL is among the first bytes."""
-    start = F.decode(F.substring(content.cast("binary"), 1, SNIFFED_BYTES), "ISO-8859-1")
+    start = F.decode(F.substring(content.cast("binary"), 1, sniffed_bytes), "ISO-8859-1")
     return F.instr(start, "\0") > 0
 
 
-def prune_dirs(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(~in_skipped_directory(F.col("path")))
+def below(root: str, path: Column) -> Column:
+    """The part of a path below ``root``; the path itself where it lies elsewhere."""
+    base = root.rstrip("/") + "/" if root else ""
+    return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
 
 
-def filter_size(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(~is_too_large(F.col("length")))
+def prune_dirs(corpus: DataFrame, root: str = "") -> DataFrame:
+    """Without files in hidden or listed directories below ``root``; the root's own
+    directories do not count."""
+    return corpus.filter(~in_skipped_directory(below(root, F.col("path"))))
 
 
-def filter_binary(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(~is_binary(F.col("content")))
+def filter_size(corpus: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    return corpus.filter(~is_too_large(F.col("length"), max_bytes))
+
+
+def filter_binary(corpus: DataFrame, sniffed_bytes: int = SNIFFED_BYTES) -> DataFrame:
+    return corpus.filter(~is_binary(F.col("content"), sniffed_bytes))
 
 
 def decode_text(corpus: DataFrame) -> DataFrame:
@@ -55,20 +64,30 @@ def decode_text(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", decode_utf8(F.col("content")).alias("text"))
 
 
-def select_scannable(corpus: DataFrame) -> DataFrame:
-    """The rows a directory scan would read, cheap tests first."""
-    return filter_binary(filter_size(prune_dirs(corpus)))
+def select_scannable(
+    corpus: DataFrame,
+    root: str = "",
+    max_bytes: int = MAX_FILE_BYTES,
+    sniffed_bytes: int = SNIFFED_BYTES,
+) -> DataFrame:
+    """The rows a directory scan of ``root`` would read, cheap tests first."""
+    return filter_binary(filter_size(prune_dirs(corpus, root), max_bytes), sniffed_bytes)
 
 
-def skip_report(corpus: DataFrame) -> DataFrame:
+def skip_report(
+    corpus: DataFrame,
+    root: str = "",
+    max_bytes: int = MAX_FILE_BYTES,
+    sniffed_bytes: int = SNIFFED_BYTES,
+) -> DataFrame:
     """How many files, and bytes, each reason left out, outside pruned directories."""
     reason = (
-        F.when(F.col("length").isNull() | F.col("content").isNull(), "unreadable")
-        .when(is_too_large(F.col("length")), "too large")
-        .when(is_binary(F.col("content")), "suspected binary")
+        F.when(is_too_large(F.col("length"), max_bytes), "too large")
+        .when(F.col("length").isNull() | F.col("content").isNull(), "unreadable")
+        .when(is_binary(F.col("content"), sniffed_bytes), "suspected binary")
     )
     return (
-        prune_dirs(corpus)
+        prune_dirs(corpus, root)
         .select(reason.alias("reason"), "length")
         .filter(F.col("reason").isNotNull())
         .groupBy("reason")
@@ -97,19 +116,6 @@ def restrict_to(corpus: DataFrame, changed: DataFrame) -> DataFrame:
     return corpus.join(changed.select("path"), "path", "left_semi")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal the rows of a small table out over all cores.
-
-    Reading a file is cheap next to scanning it, and a small table may come in
-    fewer splits than there are cores.  A table with enough splits is left as
-    it is, so a large corpus is never exchanged.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores)
-
-
 def load_corpus(spark: SparkSession, location: str) -> DataFrame:
     """A corpus kept as a Parquet table with ``path`` and ``content``."""
     table = spark.read.parquet(location)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettica.sources.corpus import MAX_FILE_BYTES, SKIPPED_DIRECTORIES
+from vettica.sources.corpus import SKIPPED_DIRECTORIES
 
 ENTRY_SCHEMA = "path string, directory boolean"
 CORPUS_SCHEMA = "path string, content binary, length bigint"
@@ -35,13 +35,16 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, directory in zip(batch["path"], batch["directory"]):
             found = [(path, False)]
             if directory:
-                with os.scandir(path) as entries:
-                    found = [
-                        (entry.path, entry.is_dir(follow_symlinks=False))
-                        for entry in entries
-                        if not entry.is_symlink()
-                        and (entry.is_file() or (entry.is_dir() and _entered(entry.name)))
-                    ]
+                try:
+                    with os.scandir(path) as entries:
+                        found = [
+                            (entry.path, entry.is_dir(follow_symlinks=False))
+                            for entry in entries
+                            if not entry.is_symlink()
+                            and (entry.is_file() or (entry.is_dir() and _entered(entry.name)))
+                        ]
+                except OSError:
+                    pass  # the folder stays as a row that cannot be read
             yield pd.DataFrame(found, columns=["path", "directory"])
 
 
@@ -53,16 +56,20 @@ def _list_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not directory:
                 yield pd.DataFrame([(path, False)], columns=["path", "directory"])
                 continue
-            for folder, folders, names in os.walk(path, followlinks=False):
+            closed: list[tuple[str, bool]] = []
+            for folder, folders, names in os.walk(
+                path, followlinks=False, onerror=lambda e, closed=closed: closed.append((e.filename, False))
+            ):
                 folders[:] = [name for name in folders if _entered(name)]
                 files = [os.path.join(folder, name) for name in names]
                 kept = [(f, False) for f in files if os.path.isfile(f) and not os.path.islink(f)]
                 yield pd.DataFrame(kept, columns=["path", "directory"])
+            yield pd.DataFrame(closed, columns=["path", "directory"])
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """File contents in batches of bounded size.  A file over the limit keeps
-    its row and length, without content."""
+def _read(batches: Iterator[pd.DataFrame], max_bytes: int | None) -> Iterator[pd.DataFrame]:
+    """File contents in batches of bounded size.  A file over the limit keeps its
+    row and length, without content; what cannot be read has neither."""
     import os
 
     columns = ["path", "content", "length"]
@@ -72,11 +79,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             content, size = None, None
             try:
                 size = os.path.getsize(path)
-                if size <= MAX_FILE_BYTES:
+                if max_bytes is None or size <= max_bytes:
                     with open(path, "rb") as file:
                         content = file.read()
             except OSError:
-                content = None
+                content = size = None
             rows.append((path, content, size))
             held += len(content or b"")
             if held >= BATCH_BYTES:
@@ -86,14 +93,24 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def load_tree(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
-    """(path, content, length) of the files under a directory, or of one file."""
+def load_tree(
+    spark: SparkSession, root: str, partitions: int = 64, max_bytes: int | None = None
+) -> DataFrame:
+    """(path, content, length) of the files under a directory, or of one file.
+
+    Files and folders that cannot be read are rows without content and length.  A
+    caller that will drop large files anyway passes ``max_bytes``, and their content
+    is not read.
+    """
     import os
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _read(batches, max_bytes)
+
     entries = spark.createDataFrame([(root, os.path.isdir(root))], ENTRY_SCHEMA)
     for _ in range(SPREAD_LEVELS):
         entries = entries.mapInPandas(_list_level, ENTRY_SCHEMA).repartition(
             partitions, F.col("path")
         )
     files = entries.mapInPandas(_list_rest, ENTRY_SCHEMA).repartition(partitions, F.col("path"))
-    return files.mapInPandas(_read, CORPUS_SCHEMA)
+    return files.mapInPandas(read, CORPUS_SCHEMA)
