@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vettica.functions.languages import RULE_LANGUAGES, rule_language
+from vettica.functions.languages import rule_language
 from vettica.functions.text import strip
 from vettica.operators.verify import UNCERTAIN
 
@@ -69,20 +69,18 @@ def balance_per_language(examples: DataFrame, key: Sequence[str]) -> DataFrame:
     per_prefix = hashed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("n"))
     # at most 65,536 prefixes per group from here on
     running = W.partitionBy(*group).orderBy("_prefix")
-    per_label = per_prefix.groupBy(*group).agg(F.sum("n").alias("total"))
-    # a label that is missing altogether leaves nothing to balance with
-    target = per_label.groupBy("lang").agg(
-        F.when(F.count(F.lit(1)) > 1, F.min("total")).otherwise(0).alias("target")
-    )
+    lang = W.partitionBy("lang")
     cut = (
         per_prefix.withColumn("through", F.sum("n").over(running))
-        .join(target, "lang")
+        .withColumn("total", F.sum("n").over(W.partitionBy(*group)))
+        # a label that is missing altogether leaves nothing to balance with
+        .withColumn("target", F.when(F.min("label").over(lang) != F.max("label").over(lang), F.min("total").over(lang)))
         .withColumn("before", F.col("through") - F.col("n"))
         .filter((F.col("before") < F.col("target")) & (F.col("target") <= F.col("through")))
         .select(*group, F.col("_prefix").alias("_cut"), (F.col("target") - F.col("before")).alias("_take"))
     )
-    # one row per language and label
-    placed = hashed.join(F.broadcast(cut), group)
+    # one row per language and label; rows above the cut go before anything else
+    placed = hashed.join(cut, group).filter(F.col("_prefix") <= F.col("_cut"))
     below = placed.filter(F.col("_prefix") < F.col("_cut"))
     edge = placed.filter(F.col("_prefix") == F.col("_cut"))
     # copies of a row are counted, not ranked one by one
@@ -162,7 +160,3 @@ def class_counts(examples: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == 0).alias("negative"),
         F.count(F.lit(1)).alias("total"),
     )
-
-
-def evaluation_extensions() -> list[str]:
-    return [ext for ext, lang in RULE_LANGUAGES.items() if lang in EVALUATED_LANGUAGES]

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vettica.session import checkpoint_root
-
 CORPUS_SCHEMA = "path string, text string"
 
 
@@ -28,21 +26,21 @@ def start_scan(
     arriving: DataFrame,
     target: str,
     name: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
 ) -> StreamingQuery:
-    """Append what ``scan`` finds in arriving rows to a Parquet folder.
+    """Append what ``scan`` finds in arriving rows to a Parquet folder, with the log
+    of the stream in the folder ``checkpoint``; both must be shared.
 
     Scans are stateless, so there is no watermark and nothing to keep between
     batches but the log of files already read.  The file sink records each
     batch, so a batch that is repeated after a failure is not written twice.
     """
-    log = checkpoint or f"{checkpoint_root(arriving.sparkSession)}/{name}"
     return (
         scan(arriving)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", target)
-        .option("checkpointLocation", log)
+        .option("checkpointLocation", checkpoint)
         .queryName(name)
         .trigger(availableNow=True)
         .start()
