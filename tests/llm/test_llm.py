@@ -251,6 +251,23 @@ def test_quality_edge_rows(edges, empty):
     assert fertility.judge_quality(empty, path).count() == 0
 
 
+def test_bands_reject_junk_and_keep_clean_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    given = spark.read.parquet(f"{folder}/documents.parquet").join(known, "doc_id").persist()
+    unnamed = given.withColumn("lang", chat.F.lit(None).cast("string"))
+    for documents, junk, clean in ((given, 0.9, 0.99), (unnamed, 0.75, 0.99)):
+        judged = fertility.judge_quality(documents, queries.vocabulary("piece_bpe_32k.model"))
+        found = judged.where("not base_failed").join(known, "doc_id").groupBy("quality", "band").agg(chat.F.avg(chat.F.col("kept").cast("int")).alias("kept"), chat.F.count("*").alias("n")).collect()
+        assert {r.band for r in found} == ({"en", "de", "fr", "es"} if documents is given else {"latin"})
+        for quality in (0, 1):
+            rate = sum(r.kept * r.n for r in found if r.quality == quality) / sum(r.n for r in found if r.quality == quality)
+            assert rate > clean if quality else rate < 1 - junk
+        if documents is given:
+            assert all(r.kept < 0.2 for r in found if r.quality == 0)
+    given.unpersist()
+
+
 # --- language model ---------------------------------------------------------
 
 

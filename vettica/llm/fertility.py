@@ -11,6 +11,7 @@ remembered: with this vocabulary no piece crosses a blank.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -32,26 +33,39 @@ REMEMBERED = 250_000
 
 
 class Band(NamedTuple):
-    """Accepted ranges; entropy is in bits and asked of texts of ``sized`` tokens on."""
+    """Accepted ranges; entropy is in bits and asked of texts of ``sized`` tokens on.
 
-    least_chars: float
+    Least values are numbers, or one number for each of ``SIZES`` with straight lines
+    over the logarithm of the tokens between them: short texts vary more and have
+    less entropy."""
+
+    least_chars: float | tuple[float, ...]
     most_chars: float
     most_bytes: float
-    least_entropy: float
-    sized: int = 50
-
-
-#: By language, then by script.  Ordinary prose in Latin script takes 1.6 to 6
-#: characters for a token of a 32k vocabulary; shouting and symbols take fewer.
-LATIN = Band(1.5, 8.0, 0.10, 3.0)
+    least_entropy: float | tuple[float, ...]
+    sized: int = 32
+
+
+#: Tokens of a text at which the least values of a band are given.
+SIZES = (32, 64, 128, 256, 512, 1024, 2048, 4096)
+#: By language, then by script.  The least values are percentiles of the good texts
+#: labelled in sf0.1 that pass the base rules, taken within a factor of two of each
+#: size: 0.5 for entropy (after taking out its trend, rounded down to 0.05), 0.2 for
+#: characters (rounded down by 0.02 to 0.04, never falling with size); the first two
+#: sizes have too few texts and share values.  Symbols stuck on words and menus of
+#: ``word | word`` use few tokens often, so they lie below.  The most values are wide:
+#: prose that a vocabulary was made for takes more characters than these tables.
+#: Latin script of other languages has the least of the four; for ``other`` there are
+#: no labelled texts.
 BANDS: Mapping[str, Band] = {
-    "en": LATIN,
-    "de": LATIN,
-    "fr": LATIN,
-    "es": LATIN,
-    "latin": LATIN,
-    "other": Band(0.2, 8.0, 0.70, 2.5),
+    "en": Band((1.42, 1.42, 1.42, 1.88, 1.96, 2.06, 2.10, 2.14), 8.0, 0.10, (4.2, 4.75, 5.6, 6.0, 6.3, 6.55, 6.7, 6.85)),
+    "de": Band((1.26, 1.26, 1.26, 2.02, 2.04, 2.12, 2.16, 2.16), 8.0, 0.10, (4.1, 4.75, 5.4, 5.9, 6.2, 6.4, 6.5, 6.65)),
+    "fr": Band((1.62, 1.62, 1.62, 1.62, 1.68, 1.82, 1.86, 1.92), 8.0, 0.10, (4.2, 4.75, 5.4, 5.75, 6.15, 6.3, 6.45, 6.55)),
+    "es": Band((1.32, 1.32, 1.74, 1.76, 1.78, 1.80, 1.86, 1.86), 8.0, 0.10, (4.2, 4.75, 5.45, 5.85, 6.15, 6.3, 6.55, 6.7)),
+    "latin": Band((1.26, 1.26, 1.26, 1.62, 1.68, 1.80, 1.86, 1.86), 8.0, 0.10, (4.1, 4.75, 5.4, 5.75, 6.15, 6.3, 6.45, 6.55)),
+    "other": Band(0.2, 8.0, 0.70, 2.5, 50),
 }
+_LOG_SIZES = np.log2(SIZES)
 
 
 def script(text: str) -> str:
@@ -142,11 +156,17 @@ def failed(m: Measures) -> bool:
     return m.n_words < LEAST_WORDS or 100 * m.n_repeat_words > MOST_REPEATED * m.n_words
 
 
+def least(value: float | tuple[float, ...], n_tokens: int) -> float:
+    if isinstance(value, tuple):
+        return float(np.interp(math.log2(max(n_tokens, 1)), _LOG_SIZES, value))
+    return value
+
+
 def accepted(m: Measures, band: Band) -> bool:
     return (
-        band.least_chars <= m.chars_per_token <= band.most_chars
+        least(band.least_chars, m.n_tokens) <= m.chars_per_token <= band.most_chars
         and m.byte_share <= band.most_bytes
-        and (m.n_tokens < band.sized or m.entropy >= band.least_entropy)
+        and (m.n_tokens < band.sized or m.entropy >= least(band.least_entropy, m.n_tokens))
     )
 
 
