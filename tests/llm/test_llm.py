@@ -69,6 +69,28 @@ def test_toxicity_separates_held_out_texts(spark):
     assert (sum(place) - ones * (ones - 1) / 2) / (ones * zeros) > 0.7
 
 
+def test_insults_are_predicted_and_clean_texts_left_alone(spark):
+    folder = "/root/testdata/sf0.1"
+    insults = {"disgusting", "trash", "stupid", "pathetic", "clown", "worthless", "loser", "idiot", "scum", "moron"}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    found = queries.op1_toxicity(spark, folder).where("held_out").join(labels, "doc_id").join(texts, "doc_id").collect()
+    rude = [r.predicted for r in found if r.toxic == 1 and insults & set(re.findall("[a-z]+", r.text.lower()))]
+    clean = [r.predicted for r in found if r.toxic == 0]
+    assert len(rude) > 50 and sum(rude) > 0.85 * len(rude)
+    assert len(clean) > 1000 and sum(clean) < 0.02 * len(clean)
+
+
+def test_curve_rises_and_its_top_keeps_its_own_precision():
+    np = bytegrams.np
+    values = np.r_[np.linspace(0, 1, 200), np.linspace(0, 1, 200), np.linspace(3, 4, 50)]
+    labels = np.r_[np.ones(200, int), np.zeros(200, int), np.ones(50, int)]
+    at, share = toxicity.fit_curve(values, labels)
+    assert (np.diff(at) > 0).all() and (np.diff(share) >= 0).all()
+    assert np.interp(3.5, at, share) > 0.95 and abs(np.interp(0.5, at, share) - 0.5) < 0.1
+    assert len(toxicity.fit_curve(values, np.ones(450, int))[0]) == 1
+
+
 def test_toxicity_on_edge_rows(spark, edges, empty):
     labels = spark.createDataFrame([(0, 0, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(edges, labels)

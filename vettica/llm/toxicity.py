@@ -5,8 +5,9 @@ labelled texts, discount their own highest-order counts; what the discount frees
 goes to lower orders that both share, interpolated Kneser-Ney over the pooled
 continuation counts.  An expression seen in neither class therefore weighs the
 same in both, and rare ones weigh little.  A text's value is the difference of
-the two log-likelihoods divided by its symbols; a logistic curve fitted on
-cross-scored labelled texts turns it into 0 to 1.
+the two log-likelihoods divided by its symbols; a rising curve fitted on
+cross-scored labelled texts (isotonic regression, straight between its blocks)
+turns it into 0 to 1, so that each range of values has the precision seen there.
 
 Because the lower orders are shared they cancel in the difference: it is one
 number per known 5-gram, else one per known context, else 0.
@@ -14,6 +15,7 @@ number per known 5-gram, else one per known context, else 0.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,7 +29,9 @@ from vettica.llm.bytegrams import looked_up, spelled, summed
 from vettica.llm.common import bound_batches, lower_words, remainder, texts
 
 ORDER = 5
-FOLDS = 2
+#: Each fold is scored by a model of the others; with few folds those models know
+#: less than the final one, and their values say too little of its precision.
+FOLDS = 10
 #: The classifier is fitted on at most so many labelled texts of each class,
 #: those with the smallest hash of their id.
 SAMPLE = 8_000
@@ -53,8 +57,9 @@ class Weights(NamedTuple):
 
 class Model(NamedTuple):
     weights: Weights
-    slope: float
-    offset: float
+    #: Values and the shares of toxic texts there, both rising.
+    values: np.ndarray
+    shares: np.ndarray
 
 
 class Scorer:
@@ -123,21 +128,22 @@ def fit_weights(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> W
     return Weights(codes, logs[0] - logs[1], contexts, left[0] - left[1])
 
 
-def fit_curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps on scaled values."""
+def fit_curve(values: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean value and share of toxic texts of each block of an isotonic regression.
+
+    Shares count half a text of either class more, so none is 0 or 1."""
     if not len(values) or labels.min() == labels.max():
-        return 0.0, -1.0
-    middle, scale = float(values.mean()), float(values.std()) or 1.0
-    x = np.c_[(values - middle) / scale, np.ones(len(values))]
-    beta, ridge = np.zeros(2), np.diag([1e-3, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(hessian, x.T @ (labels - p) - ridge @ beta)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(beta[0] / scale), float(beta[1] - beta[0] * middle / scale)
+        return np.zeros(1), np.array([1 / (1 + math.e)])
+    distinct, texts_at = summed(values, np.ones(len(values)))
+    toxic_at = summed(values, labels.astype(float))[1]
+    blocks: list[tuple[float, float, float]] = []
+    for value, ones, n in zip(distinct.tolist(), toxic_at.tolist(), texts_at.tolist(), strict=True):
+        block = (value * n, ones, n)
+        while blocks and blocks[-1][1] * block[2] >= block[1] * blocks[-1][2]:
+            block = tuple(x + y for x, y in zip(blocks.pop(), block, strict=True))
+        blocks.append(block)
+    total, ones, n = np.array(blocks).T
+    return total / n, np.maximum.accumulate((ones + 0.5) / (n + 1))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -150,8 +156,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
         .agg(F.max("toxic").alias("toxic"))
     )
     draw = F.xxhash64("doc_id")
+    fold = F.pmod(draw, F.lit(FOLDS)).cast("int").alias("fold")
     parts = [known.where(F.col("toxic") == k).orderBy(draw, "doc_id").limit(sample) for k in (0, 1)]
-    drawn = parts[0].unionByName(parts[1]).select("doc_id", "toxic", (draw.bitwiseAND(F.lit(1)).cast("int")).alias("fold"))
+    drawn = parts[0].unionByName(parts[1]).select("doc_id", "toxic", fold)
     return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "fold")
 
 
@@ -177,8 +184,8 @@ def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts, models and curve from the labelled sample.
 
-    Each of two folds is scored by the model of the other one, so the curve sees
-    values as unseen texts have them; the final weights use both."""
+    Each fold is scored by the model of the other ones, so the curve sees values as
+    unseen texts have them; the final weights use all."""
     spark = bound_batches(documents)
     drawn = labelled_sample(documents, labels, sample)
     counted = (
@@ -189,15 +196,20 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     fold, toxic, gram, n = (counted.column(c).to_numpy() for c in ("fold", "toxic", "gram", "n"))
     codes, at = np.unique(gram, return_inverse=True)
-    counts = np.zeros((FOLDS, 2, len(codes)))
-    np.add.at(counts, (fold, toxic, at), n)
-
-    def weights(folds: list[int]) -> Weights:
-        ordinary, harmful = counts[folds].sum(axis=0)
+    counts = np.zeros((2, len(codes)))
+    np.add.at(counts, (toxic, at), n)
+
+    def weights(without: int | None = None) -> Weights:
+        ordinary, harmful = counts
+        if without is not None:
+            rest = counts.copy()
+            own = fold == without
+            np.subtract.at(rest, (toxic[own], at[own]), n[own])
+            ordinary, harmful = rest
         seen = (ordinary + harmful) > 0
         return fit_weights(codes[seen], harmful[seen], ordinary[seen])
 
-    others = spark.sparkContext.broadcast([tuple(weights([1])), tuple(weights([0]))])
+    others = spark.sparkContext.broadcast([tuple(weights(k)) for k in range(FOLDS)])
 
     def cross(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(Weights(*w)) for w in others.value]
@@ -211,9 +223,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("toxic")], ["value", "toxic"])
 
     scored = drawn.mapInArrow(cross, "value double, toxic int").toArrow()
-    order = np.argsort(scored.column("value").to_numpy(), kind="stable")
-    slope, offset = fit_curve(scored.column("value").to_numpy()[order], scored.column("toxic").to_numpy()[order])
-    return Model(weights(list(range(FOLDS))), slope, offset)
+    return Model(weights(), *fit_curve(scored.column("value").to_numpy(), scored.column("toxic").to_numpy()))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -222,15 +232,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     ``llr`` is the difference per symbol; null and empty texts have 0 and the
     score of that value.  Copies and repeated ids are rows of their own; other
     columns are not read."""
-    shared = bound_batches(documents).sparkContext.broadcast((tuple(model.weights), model.slope, model.offset))
+    shared = bound_batches(documents).sparkContext.broadcast((tuple(model.weights), model.values, model.shares))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, slope, offset = shared.value
+        weights, values, shares = shared.value
         scorer = Scorer(Weights(*weights))
         for batch in source:
             value = scorer.values(texts(batch))
-            curve = 1 / (1 + np.exp(-np.clip(slope * value + offset, -500, 500)))
+            curve = np.interp(value, values, shares)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array(curve)], ["doc_id", "llr", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, llr double, score double")
