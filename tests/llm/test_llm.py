@@ -322,6 +322,25 @@ def test_tree_is_a_distribution_over_next_bytes():
     assert tree.log10_of([b"banana"])[0] > tree.log10_of([b"nbaaan"])[0]
 
 
+def test_contexts_attested_by_a_fixed_count_are_kept(spark):
+    np = bytegrams.np
+    counts = {b"the": 3_000_000_000, b"qzjx": 400, b"qzjw": 3, b"vqzjx": 200, b"": 50, b"zjw": 0}
+    codes, number = bytegrams.spelled(list(counts), suffix_tree.DEPTH + 1)
+    grown, n = [], np.array(list(counts.values()), float)[number]
+    for k in range(suffix_tree.DEPTH, -1, -1):
+        codes, n = bytegrams.summed(codes & np.int64((1 << 8 * (k + 1)) - 1), n)
+        found, sums = bytegrams.summed(codes >> 8, n)
+        often = (n > 0) & ((k == 0) | (sums[np.searchsorted(found, codes >> 8)] >= 5))
+        grown.append((codes[often], n[often]))
+    tree = suffix_tree.grow(grown[::-1], float(grown[-1][1].sum()))
+    words = spark.createDataFrame([(w.decode(), c) for w, c in counts.items()], "word string, c long")
+    lp = {r.word: r.lp for r in suffix_tree.log10_of_words(words, suffix_tree.fit(words)).collect()}
+    for word, want in zip(counts, tree.log10_of(list(counts)), strict=True):
+        assert math.isclose(lp[word.decode()], want, rel_tol=1e-9)
+    # 400 and 200 of 1.2e10 symbols: certain after two bytes, although rare
+    assert lp["qzjx"] > -12
+
+
 def test_scoring_edge_rows(edges, empty):
     found = suffix_tree.score(edges)
     assert found.count() == 11 and found.where("doc_id = 0 and n_tokens = 1").count() == 1
