@@ -113,8 +113,8 @@ def _stretches(codes: np.ndarray, grams: np.ndarray, length: int, band: tuple[in
 
 
 def _coded(split: list[bytes]) -> np.ndarray:
-    known: dict[bytes, int] = {}
-    return np.fromiter([known.setdefault(w, len(known)) for w in split], np.int64, len(split))
+    number = {word: i for i, word in enumerate(dict.fromkeys(split))}
+    return np.fromiter(map(number.__getitem__, split), np.int64, len(split))
 
 
 def find_runs(documents: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ threshold can reach from the anchor.  What agrees over at least ``LEAST`` words
 repeat; overlapping ones are one maximal repeat.
 
 An occurrence whose words leave the owner's before that is not compared with all
-others, which would be a pair per pair of occurrences.  Those that leave it at the same
-distance with the same next word form a group of their own, with the next owner, and so
-on: a stretch that two occurrences share keeps them in one group until its earliest
-document owns it.  Each round shortens what is open by a word at least, so there are at
-most ``LEAST - SEED + 1`` rounds, and rows are as many as occurrences, never pairs.
+others, which would be a row per pair of occurrences.  Its open stretches are regrouped
+by more of their words: a third of the places the anchor can have in a stretch, with the
+words that all stretches of that third have in common, then one place.  Occurrences that
+share a stretch stay in one group, with a new owner, until its earliest document owns it.
+That takes a few rounds, whatever the data; rows are as many as occurrences (at most
+``LEAST - SEED + 1`` for each, in the last round), never pairs.
 
 Exact copies of a text are collapsed to their earliest document first.  Hot anchors are
 aggregated on the map side to find the owner; the join with it has one row per anchor on
@@ -23,6 +24,7 @@ one side, which Spark's adaptive skew join splits.  Every round is a stored tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +32,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vettica.llm.common import bound_batches, stored, words
+from vettica.llm.wordhash import mixed, word_hashes
 
 #: Words of a repeat at least, and of a seed.
 LEAST, SEED = 13, 5
-#: Word hashes that a worker remembers.
-REMEMBERED = 300_000
 #: Bytes of texts whose arrays are built together.
 TOGETHER = 1 << 20
 
-MEMBER = "key long, doc_id long, copy binary, pos int, low int, high int, context binary, owner boolean"
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, none of them 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word) or 1
-        return code
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return values ^ (values >> np.uint64(29))
-
-
-def _coded(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, one after the other, and where each text begins."""
-    split = [words(t) for t in texts]
-    bounds = np.r_[0, np.cumsum([len(s) for s in split])]
-    return np.fromiter((hashes[w] for s in split for w in s), np.uint64, int(bounds[-1])), bounds
+MEMBER = "key long, doc_id long, copy binary, pos int, low int, high int, context binary"
+EXTENDED = f"{MEMBER}, begin int, end int, first_id long, first_begin int"
+EXTENDED_KINDS = {
+    "key": pa.int64(),
+    "doc_id": pa.int64(),
+    "copy": pa.binary(),
+    "pos": pa.int32(),
+    "low": pa.int32(),
+    "high": pa.int32(),
+    "context": pa.binary(),
+    "begin": pa.int32(),
+    "end": pa.int32(),
+    "first_id": pa.int64(),
+    "first_begin": pa.int32(),
+}
 
 
 def _grams(codes: np.ndarray, size: int) -> np.ndarray:
@@ -70,7 +61,7 @@ def _grams(codes: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(count, np.uint64)
     for at in range(size):
         total = total * np.uint64(0x100000001B3) + codes[at : at + count]
-    return _mixed(total)
+    return mixed(total)
 
 
 def anchors(codes: np.ndarray, bounds: np.ndarray, least: int = LEAST, seed: int = SEED) -> np.ndarray:
@@ -79,7 +70,14 @@ def anchors(codes: np.ndarray, bounds: np.ndarray, least: int = LEAST, seed: int
     grams, width = _grams(codes, seed), least - seed + 1
     if len(grams) < width:
         return np.zeros(0, np.int64)
-    chosen = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
+    count = len(grams) - width + 1
+    smallest, size = grams, 1
+    while 2 * size <= width:
+        smallest, size = np.minimum(smallest[:-size], smallest[size:]), 2 * size
+    smallest = np.minimum(smallest[:count], smallest[width - size :][:count])
+    chosen = np.empty(count, np.int64)
+    for step in reversed(range(width)):
+        np.copyto(chosen, np.arange(step, step + count), where=grams[step : step + count] == smallest)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: len(chosen)]
     return np.unique(chosen[np.arange(len(chosen)) + least <= ends])
 
@@ -91,24 +89,23 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """(seed, doc_id, pos) of every anchor."""
+    """(key, doc_id, pos) of every anchor; the key is the hash of its words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in source:
             for part in _slices(batch):
-                codes, bounds = _coded(part.column("text").to_pylist(), hashes)
+                codes, bounds = word_hashes(part.column("text"))
                 places = anchors(codes, bounds)
                 row = np.searchsorted(bounds, places, "right") - 1
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "seed": pa.array(_grams(codes, SEED)[places].view(np.int64)),
+                        "key": pa.array(_grams(codes, SEED)[places].view(np.int64)),
                         "doc_id": part.column("doc_id").take(pa.array(row)),
                         "pos": pa.array((places - bounds[row]).astype(np.int32)),
                     }
                 )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, pos int")
+    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, pos int")
 
 
 def _contexts(located: DataFrame) -> DataFrame:
@@ -118,10 +115,9 @@ def _contexts(located: DataFrame) -> DataFrame:
     around = LEAST - SEED
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in source:
             for part in _slices(batch):
-                codes, bounds = _coded(part.column("text").to_pylist(), hashes)
+                codes, bounds = word_hashes(part.column("text"))
                 lists = part.column("places")
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 place = lists.flatten().to_numpy()
@@ -149,7 +145,7 @@ def _contexts(located: DataFrame) -> DataFrame:
                     names=["key", "doc_id", "copy", "pos", "low", "high", "context", "owner"],
                 )
 
-    return located.select("doc_id", "copy", "text", "places").mapInArrow(run, MEMBER)
+    return located.select("doc_id", "copy", "text", "places").mapInArrow(run, f"{MEMBER}, owner boolean")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -158,16 +154,17 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), 2 * (LEAST - SEED))
+    width = 2 * (LEAST - SEED)
+    return np.frombuffer(column.buffers()[2], np.uint64)[: (column.offset + len(column)) * width].reshape(-1, width)[column.offset :]
 
 
 def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.cumprod(left == right, axis=1, dtype=np.int32).sum(axis=1)
 
 
-def _extended(members: DataFrame) -> DataFrame:
-    """Each member against the owner of its key: repeats found (``begin`` to ``end``) and
-    the members of the next round (``key``)."""
+def _extended(members: DataFrame, block: int | None) -> DataFrame:
+    """Each member against the owner of its key: repeats found (``begin`` to ``end``) and,
+    by blocks of so many places, what is left open (``key``)."""
     around = LEAST - SEED
     owners = (
         members.where("owner")
@@ -175,7 +172,6 @@ def _extended(members: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "pos", "context")).alias("first"))
         .select("key", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos"), F.col("first.context").alias("first_context"))
     )
-    names = ["key", "doc_id", "copy", "pos", "low", "high", "context", "owner", "begin", "end", "first_id", "first_begin"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -186,44 +182,42 @@ def _extended(members: DataFrame) -> DataFrame:
             own, first = _matrix(batch.column("context")), _matrix(batch.column("first_context"))
             left = _agreeing(own[:, :around], first[:, :around])
             right = _agreeing(own[:, around:], first[:, around:])
-            # a stretch with j words before the seed agrees where from <= j <= to
+            # a stretch with j words before the seed agrees where since <= j <= to
             to, since = np.minimum(high, left), np.maximum(low, around - right)
-            rows = np.arange(batch.num_rows)
-
-            repeat = rows[(since <= to) & (number["doc_id"] > number["first_id"])]
-            begin = pos - to
-            repeats = {
-                "begin": begin[repeat],
-                "end": (pos - since + LEAST)[repeat],
-                "first_id": number["first_id"][repeat],
-                "first_begin": (number["first_pos"] - to)[repeat],
-            }
-            key = number["key"].view(np.uint64)
-            on_left = rows[np.maximum(low, left + 1) <= high]
-            on_right = rows[low <= np.minimum(to, around - right - 1)]
-            shape = lambda side, steps, at: _mixed(_mixed(key[at] + np.uint64(side)) + _mixed(steps[at].astype(np.uint64)) + own[at, (side - 1) * around + steps[at]])
-            for at, keys, lows, highs in (
-                (on_left, shape(1, left, on_left), np.maximum(low, left + 1), high),
-                (on_right, shape(2, right, on_right), low, np.minimum(to, around - right - 1)),
-            ):
-                yield _rows(batch, at, names, {"key": keys.view(np.int64), "low": lows[at], "high": highs[at], "owner": np.ones(len(at), bool)})
-            yield _rows(batch, repeat, names, repeats, bare=True)
-
-    joined = members.drop("owner").join(owners, "key")
-    return joined.mapInArrow(run, f"{MEMBER}, begin int, end int, first_id long, first_begin int")
-
-
-def _rows(batch: pa.RecordBatch, at: np.ndarray, names: list[str], given: dict[str, np.ndarray], bare: bool = False) -> pa.RecordBatch:
-    """The batch's rows ``at`` with the given columns; the others are copied, or null
-    where they belong to the other kind of row."""
-    kinds = dict(key=pa.int64(), doc_id=pa.int64(), copy=pa.binary(), pos=pa.int32(), low=pa.int32(), high=pa.int32(), context=pa.binary(), owner=pa.bool_())
-    kinds |= dict(begin=pa.int32(), end=pa.int32(), first_id=pa.int64(), first_begin=pa.int32())
-    kept = ("doc_id", "copy") if bare else ("doc_id", "copy", "pos", "context")
+            agrees = since <= to
+            repeat = np.flatnonzero(agrees & (number["doc_id"] > number["first_id"]))
+            yield _rows(
+                batch,
+                repeat,
+                begin=(pos - to)[repeat],
+                end=(pos - since + LEAST)[repeat],
+                first_id=number["first_id"][repeat],
+                first_begin=(number["first_pos"] - to)[repeat],
+            )
+            for begin in range(0, around + 1, block) if block else ():
+                end = min(begin + block - 1, around)
+                lows, highs = np.maximum(low, begin), np.minimum(high, end)
+                still = np.flatnonzero((lows <= highs) & ~(agrees & (since <= lows) & (highs <= to)))
+                key = mixed(number["key"].view(np.uint64)[still] + np.uint64(begin + 1))
+                for at in (*range(begin), *range(around, 2 * around - end)):  # words of all stretches of the block
+                    key = mixed(key * np.uint64(0x100000001B3) + own[still, at])
+                yield _rows(batch, still, key=key.view(np.int64), low=lows[still], high=highs[still])
+
+    return members.drop("owner").join(owners, "key").mapInArrow(run, EXTENDED)
+
+
+def _rows(batch: pa.RecordBatch, at: np.ndarray, **given: np.ndarray) -> pa.RecordBatch:
+    """The batch's rows ``at`` as repeats or, given a key, as members of the next round."""
+    kept = ("doc_id", "copy", "pos", "context") if "key" in given else ("doc_id", "copy")
     index = pa.array(at)
-    columns = [
-        pa.array(given[n], kinds[n]) if n in given else batch.column(n).take(index).cast(kinds[n]) if n in kept else pa.nulls(len(at), kinds[n]) for n in names
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    columns = [pa.array(given[n], k) if n in given else batch.column(n).take(index).cast(k) if n in kept else pa.nulls(len(at), k) for n, k in EXTENDED_KINDS.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(EXTENDED_KINDS))
+
+
+def _owned(members: DataFrame) -> DataFrame:
+    """Members of keys that several documents have, with a mark on those of the earliest."""
+    shared = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return members.join(shared, "key").withColumn("owner", F.col("doc_id") == F.col("least")).drop("least")
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -240,25 +234,24 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     an earlier document too; overlapping rows make up a maximal repeat.  Rows without
     doc_id have no place in the order: they neither repeat nor are repeated."""
     bound_batches(documents)
-    texts = _identified(documents.where("doc_id is not null and text is not null"))
+    # LEAST words and the blanks between them take so many characters
+    texts = _identified(documents.where((F.length("text") >= 2 * LEAST - 1) & F.col("doc_id").isNotNull()))
     firsts = texts.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
     texts = stored(texts.join(firsts, ["copy", "doc_id"], "left_semi"))
-    found = stored(_occurrences(texts))
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    place = (F.col("pos") * 2 + (F.col("doc_id") == F.col("least")).cast("int")).alias("place")
-    places = found.join(shared, "seed").select("doc_id", place).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    place = (F.col("pos") * 2 + F.col("owner").cast("int")).alias("place")
+    places = _owned(stored(_occurrences(texts))).groupBy("doc_id").agg(F.collect_set(place).alias("places"))
     members = stored(_contexts(texts.join(places, "doc_id")))
-    repeats = None
-    while not members.isEmpty():
-        extended = stored(_extended(members))
-        rows = extended.where("begin is not null").select("doc_id", "copy", "begin", "end", "first_id", "first_begin")
-        repeats = rows if repeats is None else repeats.unionAll(rows)
-        members = extended.where("key is not null").select("key", "doc_id", "copy", "pos", "low", "high", "context", "owner")
-        several = members.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("key")
-        members = stored(members.join(several, "key", "left_semi"))
-    if repeats is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, copy binary, begin int, end int, first_id long, first_begin int")
-    return repeats
+    blocks = [LEAST - SEED + 1]
+    while blocks[-1] > 1:
+        blocks.append(-(-blocks[-1] // 3))
+    rounds = []
+    for block in (*blocks[1:], None):
+        extended = _extended(members, block)
+        if block is not None:
+            extended = stored(extended)
+            members = stored(_owned(extended.where("key is not null").select("key", "doc_id", "copy", "pos", "low", "high", "context")))
+        rounds.append(extended.where("begin is not null").select("doc_id", "copy", "begin", "end", "first_id", "first_begin"))
+    return reduce(DataFrame.unionAll, rounds)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
