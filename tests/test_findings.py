@@ -257,6 +257,31 @@ def test_reports_read_stored_findings_only(report, tmp_path):
     assert "SortAggregate" not in physical and "SortMergeJoin" not in physical
 
 
+def test_storing_findings_asks_for_each_score_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def load():
+        def score(snippets, langs):
+            with open(asked, "a") as file:
+                file.write("x" * len(snippets))
+            return [0.9] * len(snippets)
+
+        return score
+
+    files = [(f"d{i}.c", "void f(char *a) {" + " " * i + "strcpy(a, a); gets(a); }") for i in range(30)]
+    corpus = spark.createDataFrame(files, "path string, text string").repartition(4)
+    findings_ = cascade(corpus, lambda c: verify.score_in_place(c, load))
+    count = len(findings_.collect())
+    once = len(asked.read_text())
+    asked.write_text("")
+    stored = sarif.store_findings(findings_, str(tmp_path / "findings"))
+    assert len(asked.read_text()) == once > 0
+    rows = stored.orderBy("seq").collect()
+    assert len(rows) == count and len({r.seq for r in rows}) == count
+    places = [tuple(r[c] for c in sarif.ORDER) for r in rows]
+    assert places == sorted(places)
+
+
 def test_first_seen_rules(report, tmp_path):
     rows = report.collect()
     expected = []

@@ -27,10 +27,17 @@ def store_findings(findings: DataFrame, folder: str) -> DataFrame:
     """The findings written to ``folder`` in report order and read again, with a
     bigint ``seq`` that rises in that order and is different for every row.
 
-    One range sort, which also settles the order of findings at one position."""
-    ordered = findings.orderBy(*ORDER).withColumn("seq", F.monotonically_increasing_id())
+    A range sort reads its input twice, first for the bounds.  So that the scan and its
+    model run once, findings are landed as they come in ``folder`` with ``.landed`` added,
+    which is no longer needed afterwards, and sorted from there.  The sort also settles
+    the order of findings at one position."""
+    spark = findings.sparkSession
+    landing = folder.rstrip("/") + ".landed"
+    findings.write.mode("errorifexists").parquet(landing)
+    landed = spark.read.schema(findings.schema).parquet(landing)
+    ordered = landed.orderBy(*ORDER).withColumn("seq", F.monotonically_increasing_id())
     ordered.write.mode("errorifexists").parquet(folder)
-    return findings.sparkSession.read.schema(ordered.schema).parquet(folder)
+    return spark.read.schema(ordered.schema).parquet(folder)
 
 
 def sarif_rules(stored: DataFrame) -> DataFrame:
