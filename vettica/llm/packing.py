@@ -24,8 +24,8 @@ from vettica.llm.common import bound_batches, texts, words, worker_memory
 
 LONGEST = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 450_000
+#: Words, and pieces of words, in each of the two halves of a worker's memory.
+REMEMBERED = 400_000
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -38,7 +38,8 @@ class WordIds:
     """Ids of texts under a lower-casing BPE tokenizer that drops white space.
 
     The ids of a text are those of its blank-separated words, looked up once and
-    remembered.  A word of Latin letters, digits and signs goes straight to the
+    remembered.  A full young half of the memory becomes the old one, whose words come
+    back when they are asked for, so frequent words are never looked up again.  A word of Latin letters, digits and signs goes straight to the
     tokenizer's BPE model, cut by the same pattern as its own pre-tokenizer; any
     other word, or one that may hold a special token, goes through the whole
     tokenizer.  The tests hold both against the tokenizer on whole texts."""
@@ -54,14 +55,19 @@ class WordIds:
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
-            spelled = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
-            ids = [t.id for t in self.model.tokenize(spelled)]
-            found = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.old_pieces.get(text)
+            if found is None:
+                spelled = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+                ids = [t.id for t in self.model.tokenize(spelled)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces[text] = found
         return found
 
     def word(self, word: bytes) -> bytes:
@@ -74,13 +80,23 @@ class WordIds:
 
     def of(self, text: str) -> np.ndarray:
         if len(self.words) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > REMEMBERED:
+            self.pieces, self.old_pieces = {}, self.pieces
         split, known = words(text), self.words
         found = list(map(known.get, split))
         if None in found:
+            old = self.old_words
             for at, ids in enumerate(found):
                 if ids is None:
-                    found[at] = known[split[at]] = self.word(split[at])
+                    word = split[at]
+                    ids = known.get(word)  # it may stand earlier in this text
+                    if ids is None:
+                        ids = old.get(word)
+                        if ids is None:
+                            ids = self.word(word)
+                        known[word] = ids
+                    found[at] = ids
         return np.frombuffer(b"".join(found), "<u4")
 
 
