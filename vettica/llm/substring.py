@@ -14,9 +14,10 @@ by more of their words: a third of the places the anchor can have in a stretch,
 words that all stretches of that third have in common, then one place.  Occurrences that
 share a stretch stay in one group, with a new owner, until its earliest document owns it.
 That takes a few rounds, whatever the data; rows are as many as occurrences (at most
-``LEAST - SEED + 1`` for each, in the last round), never pairs.
+``LEAST - SEED + 1`` for each, in the last round), never pairs.  A member carries only the
+words that its open stretches do not have in common, and in the last round none.
 
-Exact copies of a text are collapsed to their earliest document first.  Hot anchors are
+Of exact copies of a text all but the earliest document are set aside first.  Hot anchors are
 aggregated on the map side to find the owner; the join with it has one row per anchor on
 one side, which Spark's adaptive skew join splits.  Every round is a stored table.
 """
@@ -162,7 +163,7 @@ def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.cumprod(left == right, axis=1, dtype=np.int32).sum(axis=1)
 
 
-def _extended(members: DataFrame, block: int | None) -> DataFrame:
+def _extended(members: DataFrame, block: int) -> DataFrame:
     """Each member against the owner of its key: repeats found (``begin`` to ``end``) and,
     by blocks of so many places, what is left open (``key``)."""
     around = LEAST - SEED
@@ -194,23 +195,54 @@ def _extended(members: DataFrame, block: int | None) -> DataFrame:
                 first_id=number["first_id"][repeat],
                 first_begin=(number["first_pos"] - to)[repeat],
             )
-            for begin in range(0, around + 1, block) if block else ():
+            for begin in range(0, around + 1, block):
                 end = min(begin + block - 1, around)
                 lows, highs = np.maximum(low, begin), np.minimum(high, end)
                 still = np.flatnonzero((lows <= highs) & ~(agrees & (since <= lows) & (highs <= to)))
-                key = mixed(number["key"].view(np.uint64)[still] + np.uint64(begin + 1))
+                key, common = number["key"].view(np.uint64)[still] + np.uint64(begin + 1), own[still]
                 for at in (*range(begin), *range(around, 2 * around - end)):  # words of all stretches of the block
-                    key = mixed(key * np.uint64(0x100000001B3) + own[still, at])
-                yield _rows(batch, still, key=key.view(np.int64), low=lows[still], high=highs[still])
+                    key = mixed(key * np.uint64(0x100000001B3) + common[:, at])
+                yield _rows(batch, still, key=mixed(key).view(np.int64), low=lows[still], high=highs[still], context=_binary(_open_words(common, begin, end)))
 
     return members.drop("owner").join(owners, "key").mapInArrow(run, EXTENDED)
 
 
-def _rows(batch: pa.RecordBatch, at: np.ndarray, **given: np.ndarray) -> pa.RecordBatch:
+def _open_words(context: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The words that tell apart the stretches with ``begin`` to ``end`` words before the
+    seed, others 0; for one place a second hash of its words, to be compared with the key."""
+    around = LEAST - SEED
+    if begin == end:
+        check = np.zeros((len(context), 1), np.uint64)
+        for at in (*range(begin), *range(around, 2 * around - end)):
+            check[:, 0] = mixed(check[:, 0] * np.uint64(0x9E3779B97F4A7C15) + context[:, at])
+        return check
+    kept = np.zeros_like(context)
+    for at in (slice(begin, end), slice(2 * around - end, 2 * around - begin)):
+        kept[:, at] = context[:, at]
+    return kept
+
+
+def _settled(members: DataFrame) -> DataFrame:
+    """Repeats among members with one open stretch each, which the key stands for."""
+    first = members.groupBy("key", "context").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
+    begin = F.col("pos") - F.col("low")
+    return (
+        members.join(first, ["key", "context"])
+        .where("doc_id > first.doc_id")
+        .select("doc_id", "copy", begin.alias("begin"), (begin + LEAST).alias("end"), F.col("first.doc_id").alias("first_id"), (F.col("first.pos") - F.col("low")).alias("first_begin"))
+    )
+
+
+def _rows(batch: pa.RecordBatch, at: np.ndarray, **given: np.ndarray | pa.Array) -> pa.RecordBatch:
     """The batch's rows ``at`` as repeats or, given a key, as members of the next round."""
-    kept = ("doc_id", "copy", "pos", "context") if "key" in given else ("doc_id", "copy")
+    kept = ("doc_id", "copy", "pos") if "key" in given else ("doc_id", "copy")
     index = pa.array(at)
-    columns = [pa.array(given[n], k) if n in given else batch.column(n).take(index).cast(k) if n in kept else pa.nulls(len(at), k) for n, k in EXTENDED_KINDS.items()]
+    columns = []
+    for name, kind in EXTENDED_KINDS.items():
+        if name in given:
+            columns.append(given[name] if isinstance(given[name], pa.Array) else pa.array(given[name], kind))
+        else:
+            columns.append(batch.column(name).take(index).cast(kind) if name in kept else pa.nulls(len(at), kind))
     return pa.RecordBatch.from_arrays(columns, names=list(EXTENDED_KINDS))
 
 
@@ -224,6 +256,13 @@ def _identified(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("copy"))
 
 
+def _later_copies(texts: DataFrame) -> DataFrame:
+    """(copy, doc_id) of documents whose text an earlier one has, as a stored table."""
+    pairs = texts.where("doc_id is not null").select("copy", "doc_id").distinct()
+    firsts = pairs.groupBy("copy").agg(F.min("doc_id").alias("first_id"))
+    return stored(pairs.join(firsts, "copy").where("doc_id > first_id").select("copy", "doc_id"))
+
+
 def find_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, copy, begin, end, first_id, first_begin): stretches of at least ``LEAST``
     words, ``begin`` to before ``end``, that also stand in the document ``first_id``, which
@@ -234,24 +273,28 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     an earlier document too; overlapping rows make up a maximal repeat.  Rows without
     doc_id have no place in the order: they neither repeat nor are repeated."""
     bound_batches(documents)
+    rows = _identified(documents)
+    return _repeats(rows, _later_copies(rows))
+
+
+def _repeats(rows: DataFrame, later: DataFrame) -> DataFrame:
     # LEAST words and the blanks between them take so many characters
-    texts = _identified(documents.where((F.length("text") >= 2 * LEAST - 1) & F.col("doc_id").isNotNull()))
-    firsts = texts.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    texts = stored(texts.join(firsts, ["copy", "doc_id"], "left_semi"))
+    texts = rows.where((F.length("text") >= 2 * LEAST - 1) & F.col("doc_id").isNotNull())
+    occurrences = _occurrences(texts.join(later, ["copy", "doc_id"], "left_anti"))
     place = (F.col("pos") * 2 + F.col("owner").cast("int")).alias("place")
-    places = _owned(stored(_occurrences(texts))).groupBy("doc_id").agg(F.collect_set(place).alias("places"))
-    members = stored(_contexts(texts.join(places, "doc_id")))
-    blocks = [LEAST - SEED + 1]
+    places = stored(_owned(stored(occurrences)).groupBy("doc_id").agg(F.collect_set(place).alias("places")))
+    members = stored(_contexts(texts.join(places, "doc_id")))  # later copies have no places
+    blocks = [-(-(LEAST - SEED + 1) // 3)]
     while blocks[-1] > 1:
         blocks.append(-(-blocks[-1] // 3))
     rounds = []
-    for block in (*blocks[1:], None):
-        extended = _extended(members, block)
-        if block is not None:
-            extended = stored(extended)
-            members = stored(_owned(extended.where("key is not null").select("key", "doc_id", "copy", "pos", "low", "high", "context")))
+    for block in blocks:
+        extended = stored(_extended(members, block))
         rounds.append(extended.where("begin is not null").select("doc_id", "copy", "begin", "end", "first_id", "first_begin"))
-    return reduce(DataFrame.unionAll, rounds)
+        left = extended.where("key is not null").select("key", "doc_id", "copy", "pos", "low", "high", "context")
+        if block > 1:
+            members = stored(_owned(left))
+    return reduce(DataFrame.unionAll, [*rounds, _settled(left)])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -265,9 +308,16 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     Ids are read as whole numbers; other columns are not read."""
     bound_batches(documents)
     rows = _identified(documents)
-    firsts = rows.groupBy("copy").agg(F.min("doc_id").alias("first_id"))
-    spans = find_repeats(documents).groupBy("copy").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = rows.join(firsts.join(spans, "copy", "left"), "copy", "left")
+    later = _later_copies(rows)
+    span = F.struct("begin", "end").alias("span")
+    found = stored(
+        _repeats(rows, later)
+        .select("copy", "doc_id", span, F.lit(False).alias("whole"))
+        .unionByName(later.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+        .groupBy("copy", "doc_id")
+        .agg(F.collect_set("span").alias("spans"), F.max("whole").alias("whole"))
+    )
+    joined = rows.join(found, ["copy", "doc_id"], "left")
     span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +340,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "removed", "kept"],
             )
 
-    whole = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("whole")
+    whole = F.coalesce("whole", F.lit(False)).alias("whole")
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<begin:int,end:int>>, kept string"
     return joined.select("doc_id", "text", whole, "spans").mapInArrow(run, schema)
 
