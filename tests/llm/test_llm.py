@@ -181,6 +181,17 @@ def test_word_ids_are_the_tokenizers():
         assert list(words.of(text)) == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_with_a_small_memory(monkeypatch):
+    """Words leave the memory, come back from its old half, or are looked up again."""
+    monkeypatch.setattr(packing, "REMEMBERED", 4)
+    words = packing.WordIds(queries.vocabulary("word_bpe_49k.json"))
+    draw = random.Random(5)
+    known = ["The", "caf\u00e9's", "x1y2", "don't", "\u4e2d\u6587", "A.b", "zebra", "stop!!", "ein", "<|x|>", "Ll\u00f3&&&"]
+    for _ in range(60):
+        text = " ".join(draw.choice(known) for _ in range(draw.randint(0, 7)))
+        assert words.of(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_edge_rows(edges, empty):
     found = packing.pack(edges, queries.vocabulary("word_bpe_49k.json"))
     assert found.where("doc_id = 0").select("length", "doc_tokens").collect() == [(1, 1)]
