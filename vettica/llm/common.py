@@ -57,10 +57,22 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: a lost executor
     costs a read, not the work before it."""
+    return stored_for(frame)[0]
+
+
+def stored_for(frame: DataFrame) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the folder, for tables that the caller gives up early."""
     spark = frame.sparkSession
     path = shared_folder(spark)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def give_up(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more: what was made of it must be
+    stored itself, so that no lost executor asks for it again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bound_batches(frame: DataFrame) -> SparkSession:

@@ -19,7 +19,8 @@ words that its open stretches do not have in common, and in the last round none.
 
 Of exact copies of a text all but the earliest document are set aside first.  Hot anchors are
 aggregated on the map side to find the owner; the join with it has one row per anchor on
-one side, which Spark's adaptive skew join splits.  Every round is a stored table.
+one side, which Spark's adaptive skew join splits.  Every round is a stored table, and a
+table is deleted as soon as what was made of it is stored, so that disk holds one round.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.common import bound_batches, stored, words
+from vettica.llm.common import bound_batches, give_up, stored, stored_for, words
 from vettica.llm.wordhash import mixed, word_hashes
 
 #: Words of a repeat at least, and of a seed.
@@ -274,27 +275,33 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     doc_id have no place in the order: they neither repeat nor are repeated."""
     bound_batches(documents)
     rows = _identified(documents)
-    return _repeats(rows, _later_copies(rows))
+    return _repeats(rows, _later_copies(rows))[0]
 
 
-def _repeats(rows: DataFrame, later: DataFrame) -> DataFrame:
+def _repeats(rows: DataFrame, later: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The repeats, and the folders of the tables they are read from."""
     # LEAST words and the blanks between them take so many characters
     texts = rows.where((F.length("text") >= 2 * LEAST - 1) & F.col("doc_id").isNotNull())
-    occurrences = _occurrences(texts.join(later, ["copy", "doc_id"], "left_anti"))
+    spark = rows.sparkSession
+    occurrences, seeds = stored_for(_occurrences(texts.join(later, ["copy", "doc_id"], "left_anti")))
     place = (F.col("pos") * 2 + F.col("owner").cast("int")).alias("place")
-    places = stored(_owned(stored(occurrences)).groupBy("doc_id").agg(F.collect_set(place).alias("places")))
-    members = stored(_contexts(texts.join(places, "doc_id")))  # later copies have no places
+    places, found = stored_for(_owned(occurrences).groupBy("doc_id").agg(F.collect_set(place).alias("places")))
+    give_up(spark, seeds)
+    members, held = stored_for(_contexts(texts.join(places, "doc_id")))  # later copies have no places
+    give_up(spark, found)
     blocks = [-(-(LEAST - SEED + 1) // 3)]
     while blocks[-1] > 1:
         blocks.append(-(-blocks[-1] // 3))
-    rounds = []
+    rounds, folders = [], []
     for block in blocks:
-        extended = stored(_extended(members, block))
+        extended, folder = stored_for(_extended(members, block))
+        folders.append(folder)
+        give_up(spark, held)
         rounds.append(extended.where("begin is not null").select("doc_id", "copy", "begin", "end", "first_id", "first_begin"))
         left = extended.where("key is not null").select("key", "doc_id", "copy", "pos", "low", "high", "context")
         if block > 1:
-            members = stored(_owned(left))
-    return reduce(DataFrame.unionAll, [*rounds, _settled(left)])
+            members, held = stored_for(_owned(left))
+    return reduce(DataFrame.unionAll, [*rounds, _settled(left)]), folders
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -310,13 +317,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     rows = _identified(documents)
     later = _later_copies(rows)
     span = F.struct("begin", "end").alias("span")
+    repeats, folders = _repeats(rows, later)
     found = stored(
-        _repeats(rows, later)
-        .select("copy", "doc_id", span, F.lit(False).alias("whole"))
+        repeats.select("copy", "doc_id", span, F.lit(False).alias("whole"))
         .unionByName(later.withColumn("whole", F.lit(True)), allowMissingColumns=True)
         .groupBy("copy", "doc_id")
         .agg(F.collect_set("span").alias("spans"), F.max("whole").alias("whole"))
     )
+    for folder in folders:
+        give_up(rows.sparkSession, folder)
     joined = rows.join(found, ["copy", "doc_id"], "left")
     span_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
