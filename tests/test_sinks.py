@@ -180,18 +180,18 @@ def test_call_outside_functions_keeps_its_line(corpus):
 @pytest.mark.parametrize(
     "name,groups",
     [
-        ("mpack_memcpy", {2}),
-        ("my_strcpy_wrapper", {1}),
-        ("mpackMemcpy", {2}),
-        ("safeStrCpy", {1}),
-        ("MallocWrapper", {5}),
-        ("exec_free", {2, 4}),
-        ("calculate_total", set()),
-        ("mallocator", set()),
-        ("freetype_init", set()),
-        ("somestrcpycall", set()),
-        ("myStructCpy", set()),
-        ("XStrcpy", set()),
+        ("zip_memcpy", {2}),
+        ("do_strcpy_fast", {1}),
+        ("zipMemcpy", {2}),
+        ("quickStrCpy", {1}),
+        ("MallocTraced", {5}),
+        ("popen_free", {2, 4}),
+        ("render_totals", set()),
+        ("callocated", set()),
+        ("freely_open", set()),
+        ("onestrcpytwo", set()),
+        ("ourStructCpy", set()),
+        ("QStrcpy", set()),
     ],
 )
 def test_wrapper_names(corpus, name, groups):
@@ -205,7 +205,7 @@ def test_files_without_a_rule_language_are_left_out(corpus):
 
 
 def test_duplicate_rules_and_files_are_kept(corpus):
-    files = {f"d{i}/same.c": "int f() { exec_free(1); }" for i in range(3)}
+    files = {f"d{i}/same.c": "int f() { popen_free(1); }" for i in range(3)}
     assert sinks.sink_candidates(corpus(files)).count() == 6
 
 

@@ -34,13 +34,13 @@ def sql_text(template: str, number: str) -> str:
 # extension and text of each kind of file
 FILE_KINDS = (
     (".c", 'void f{N}(char *d, const char *s) {\n\tstrcpy(d, s);\n\tprintf("%s", d);\n}\n'),
-    (".c", "int g{N}(size_t n) {\n\tchar *p = mpack_malloc(n);\n\treturn mpackMemcpy(p, n);\n}"),
+    (".c", "int g{N}(size_t n) {\n\tchar *p = zip_malloc(n);\n\treturn zipMemcpy(p, n);\n}"),
     (
         ".h",
-        "/* strcpy(a, b); */\nint h{N}(void) { mallocator(); XStrcpy(); somestrcpycall();"
+        "/* strcpy(a, b); */\nint h{N}(void) { callocated(); QStrcpy(); onestrcpytwo();"
         " return 0; }\n",
     ),
-    (".c", 'int m{N}(void) {\n\texec_free(1);\n\treturn system("ls");\n}\n'),
+    (".c", 'int m{N}(void) {\n\tpopen_free(1);\n\treturn system("ls");\n}\n'),
     (
         ".cpp",
         'void q{N}(char *s) {\n\tstd::sprintf(s, "x");\n\tstd::malloc(4);\n\tdelete[] s;\n}\n',
@@ -136,8 +136,8 @@ select concat('code/', path) as path, text from ({CODE_CORPUS}) as code"""
 
 # names around the edges of what counts as a wrapper of a known function
 NAME_SHAPES = (
-    "mpack_memcpy", "my_strcpy_wrapper", "mpackMemcpy", "safeStrCpy", "MallocWrapper",
-    "calculate_total", "mallocator", "freetype_init", "somestrcpycall", "myStructCpy", "XStrcpy",
+    "zip_memcpy", "do_strcpy_fast", "zipMemcpy", "quickStrCpy", "MallocTraced",
+    "render_totals", "callocated", "freely_open", "onestrcpytwo", "ourStructCpy", "QStrcpy",
     "x{N}_free", "free{N}", "Free{N}", "a{N}Free", "Free_{N}", "ShellExecuteW", "run{N}System",
     "CALLOC{N}", "f{N}Snprintf", "exec_{N}_gets", "{N}", "aExecVp", "syslogX",
 )
