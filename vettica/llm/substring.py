@@ -90,24 +90,31 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """(key, doc_id, pos) of every anchor; the key is the hash of its words."""
+def _occurrences(texts: DataFrame, later: DataFrame) -> DataFrame:
+    """(key, doc_id, pos) of every anchor of texts that are no later copies; the key is
+    the hash of its words.  A text meets the copies with its anchors, not its words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for part in _slices(batch):
                 codes, bounds = word_hashes(part.column("text"))
                 places = anchors(codes, bounds)
-                row = np.searchsorted(bounds, places, "right") - 1
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array(_grams(codes, SEED)[places].view(np.int64)),
-                        "doc_id": part.column("doc_id").take(pa.array(row)),
-                        "pos": pa.array((places - bounds[row]).astype(np.int32)),
-                    }
+                begin = np.searchsorted(places, bounds)  # of each text's anchors
+                row = np.repeat(np.arange(part.num_rows), np.diff(begin))
+                offsets = pa.array(begin.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("copy"),
+                        part.column("doc_id"),
+                        pa.ListArray.from_arrays(offsets, pa.array(_grams(codes, SEED)[places].view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array((places - bounds[row]).astype(np.int32))),
+                    ],
+                    names=["copy", "doc_id", "keys", "places"],
                 )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, pos int")
+    listed = texts.select("copy", "doc_id", "text").mapInArrow(run, "copy binary, doc_id long, keys array<long>, places array<int>")
+    first = listed.join(later, ["copy", "doc_id"], "left_anti")
+    return first.select("doc_id", F.inline(F.arrays_zip("keys", "places")).alias("key", "pos")).select("key", "doc_id", "pos")
 
 
 def _contexts(located: DataFrame) -> DataFrame:
@@ -283,7 +290,7 @@ def _repeats(rows: DataFrame, later: DataFrame) -> tuple[DataFrame, list[str]]:
     # LEAST words and the blanks between them take so many characters
     texts = rows.where((F.length("text") >= 2 * LEAST - 1) & F.col("doc_id").isNotNull())
     spark = rows.sparkSession
-    occurrences, seeds = stored_for(_occurrences(texts.join(later, ["copy", "doc_id"], "left_anti")))
+    occurrences, seeds = stored_for(_occurrences(texts, later))
     place = (F.col("pos") * 2 + F.col("owner").cast("int")).alias("place")
     places, found = stored_for(_owned(occurrences).groupBy("doc_id").agg(F.collect_set(place).alias("places")))
     give_up(spark, seeds)
