@@ -128,6 +128,35 @@ def test_incremental_scan_covers_changes_only(spark, files):
     assert any(r.layer == 1 for r in rows)
 
 
+def test_changed_files_of_any_directory_are_read(spark, tmp_path):
+    """Size and content decide about a changed file; its directory does not."""
+    code = b"def f(q):\n    eval(q)\n"
+    rows = [
+        (".github/x.py", code, 23),
+        ("venv/y.py", code, 23),
+        ("src/same.py", code, 23),
+        ("src/large.py", code, corpora.MAX_FILE_BYTES + 1),
+        ("src/binary.py", b"\0" + code, 24),
+        ("src/gone.py", None, None),
+    ]
+    raw = spark.createDataFrame(rows, "path string, content binary, length long")
+    paths = [(path, "modified") for path, *_ in rows if path != "src/same.py"] + [("src/deleted.py", "added")]
+    changed = spark.createDataFrame(paths, "path string, change string")
+    direct = incremental_scan(raw, changed, with_stand_in_scores)
+    landed = incremental_scan(raw, changed, with_stand_in_scores, str(tmp_path / "changed"))
+    assert sorted(map(str, direct.collect())) == sorted(map(str, landed.collect()))
+    assert sorted({r.path for r in landed.collect()}) == [".github/x.py", "venv/y.py"]
+    assert set(landed.inputFiles()) and all("/changed/" in name for name in landed.inputFiles())
+
+
+def test_incremental_scan_is_compiled(spark, files, tmp_path):
+    """Join and scan are separate stages: no join is left in the plan of the scan."""
+    changed = spark.createDataFrame([("d1/a.c", "modified")], "path string, change string")
+    rows = incremental_scan(files, changed, with_stand_in_scores, str(tmp_path / "changed"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_plans_do_not_shuffle_files(files):
     """Scans are map stages; nothing is exchanged, collected or run in Python."""
     for frame in (scan(files), scan_secrets(files)):

@@ -13,7 +13,7 @@ from vettica.operators.findings import all_findings
 from vettica.operators.secrets import scan_secrets
 from vettica.operators.sinks import sink_candidates
 from vettica.operators.verify import classify
-from vettica.sources.corpus import restrict_to
+from vettica.sources.corpus import decode_text, restrict_to, select_changed
 
 Scoring = Callable[[DataFrame], DataFrame]
 
@@ -51,7 +51,25 @@ def cascade(
 
 
 def incremental_scan(
-    corpus: DataFrame, changed: DataFrame, add_scores: Scoring, **options: object
+    corpus: DataFrame,
+    changed: DataFrame,
+    add_scores: Scoring,
+    landing: str | None = None,
+    **options: object,
 ) -> DataFrame:
-    """The cascade over the changed files only."""
-    return cascade(restrict_to(corpus, changed), add_scores, **options)
+    """The cascade over the changed files only.
+
+    ``corpus`` is raw (path, content, length), not pruned, so that changed files of any
+    directory are read and size and content decide; or decoded (path, text), which is
+    taken as already selected.  With ``landing``, a folder, the texts of the changed
+    files are stored there first: the corpus is read and joined once, not once for each
+    layer, and the scan reads only what changed.
+    """
+    if "content" in corpus.columns:
+        touched = decode_text(select_changed(corpus, changed))
+    else:
+        touched = restrict_to(corpus.select("path", "text"), changed)
+    if landing is not None:
+        touched.write.parquet(landing)
+        touched = corpus.sparkSession.read.schema(touched.schema).parquet(landing)
+    return cascade(touched, add_scores, **options)

@@ -204,10 +204,9 @@ def _streaming_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _incremental(spark: SparkSession, folder: str) -> DataFrame:
-    touched = corpora.restrict_to(raw_corpus(spark, folder), _changes(spark, folder))
-    # size and content decide about a changed file; directories are pruned in walks only
-    readable = corpora.filter_binary(corpora.filter_size(touched))
-    return _cascade(corpora.decode_text(readable)).select(*FINDING_COLUMNS)
+    return scan.incremental_scan(
+        raw_corpus(spark, folder), _changes(spark, folder), with_stand_in_scores, _scratch(spark, "changed")
+    ).select(*FINDING_COLUMNS)
 
 
 def _rounded(metrics: DataFrame) -> DataFrame:

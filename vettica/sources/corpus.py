@@ -116,6 +116,20 @@ def restrict_to(corpus: DataFrame, changed: DataFrame) -> DataFrame:
     return corpus.join(changed.select("path"), "path", "left_semi")
 
 
+def select_changed(
+    corpus: DataFrame,
+    changed: DataFrame,
+    max_bytes: int = MAX_FILE_BYTES,
+    sniffed_bytes: int = SNIFFED_BYTES,
+) -> DataFrame:
+    """The changed files that a rescan reads: of any directory, as directories are
+    pruned in walks only, but neither too large nor binary.
+
+    Size is tested before the join and content after it, on the files met."""
+    small = filter_size(corpus.select("path", "content", "length"), max_bytes)
+    return filter_binary(restrict_to(small, changed), sniffed_bytes)
+
+
 def load_corpus(spark: SparkSession, location: str) -> DataFrame:
     """A corpus kept as a Parquet table with ``path`` and ``content``."""
     table = spark.read.parquet(location)
