@@ -352,6 +352,83 @@ def test_contexts_attested_by_a_fixed_count_are_kept(spark):
     assert lp["qzjx"] > -12
 
 
+def brute_token_tree(train, lp, reach):
+    """Adds log10 of what retained contexts of whole tokens make of each token."""
+    price = 0.5 * math.log(sum(map(len, train)))
+    tree, kept = {}, {}
+
+    def chain(before, w, reach):
+        total = lp[w]
+        for k in range(1, min(reach, len(before)) + 1):
+            context = before[-k:]
+            if context in kept:
+                total += math.log10(kept[context]) + tree.get((context, w), 0.0)
+        return total
+
+    for k in range(1, reach + 1):
+        seen = defaultdict(Counter)
+        for text in train:
+            for i in range(k, len(text)):
+                seen[text[i - k : i]][text[i]] += 1
+        new, tokens = {}, {}
+        for context, after in seen.items():
+            total = after.total()
+            if total < 5:
+                continue
+            named = {}
+            for w, n in after.items():
+                q, root, own = 10 ** chain(context, w, k - 1), 10 ** lp[w], (n - 1) / (total + 4)
+                least = total if k == 1 else max(n, 5)
+                if n > 1 and n * math.log1p((n - 1) / (least + 4) / root) >= price and n * math.log1p(own / q) >= price:
+                    named[w] = (n, own, q)
+            if not named:
+                continue
+            back = (total - sum(n - 1 for n, _, _ in named.values()) + 4) / (total + 4)
+            gain = sum(n * math.log(own / q + back) - price for n, own, q in named.values()) + (total - sum(n for n, _, _ in named.values())) * math.log(back)
+            if gain >= 0:
+                new[context] = back
+                tokens |= {(context, w): math.log10(1 + own / q / back) for w, (n, own, q) in named.items()}
+        kept |= new
+        tree |= tokens
+    return kept, lambda text: sum(chain(text[:i], w, reach) for i, w in enumerate(text))
+
+
+def test_contexts_cross_tokens_as_brute_force_says(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree.token_contexts, "HELD", 300)
+    monkeypatch.setattr(suffix_tree.token_contexts, "COUNTED", 500)
+    rng = random.Random(4)
+    words = [*"abcdefgh", "É", "long"]
+    after = {(x, y): rng.choice(words) for x in words for y in words}  # decided by two tokens
+    texts = {}
+    for doc in range(150):
+        text = rng.choices(words, k=2)
+        while len(text) < 24:
+            text.append(after[tuple(text[-2:])] if rng.random() < 0.6 else rng.choice(words))
+        texts[doc] = " ".join(text)
+    out = (i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    alone = {next(out): w for w in ["", *words]}
+    forth, back = next(out), next(out)
+    texts |= alone | {forth: "x " + texts[1], back: "x " + " ".join(reversed(texts[1].split()))}
+    given = spark.createDataFrame([*texts.items(), (None, None)], "doc_id long, text string").repartition(3)
+    root = {r.doc_id: r.score for r in suffix_tree.score(given, reach=0).collect()}
+    end = root[next(iter(alone))]
+    lp = {w: root[d] - end for d, w in alone.items() if w} | {"": end}
+    lp["x"] = root[forth] - root[1]
+    tokens = {d: (*lower(t), "") for d, t in texts.items()}
+    lp |= {w.lower(): lp[w] for w in words}
+    train = [t for d, t in tokens.items() if zlib.crc32(str(d).encode()) % 10] + [("",)]
+    for reach in (1, 2, 3):
+        kept, want = brute_token_tree(train, lp, reach)
+        assert {len(c) for c in kept} >= {2} or reach == 1
+        found = {r.doc_id: r.score for r in suffix_tree.score(given, reach=reach).collect()}
+        assert len(found) == len(texts) + 1 and found[None] == pytest.approx(end, rel=1e-9)
+        for d, text in tokens.items():
+            assert found[d] == pytest.approx(want(text), rel=1e-9)
+    assert root[forth] == pytest.approx(root[back], rel=1e-9) and found[forth] > found[back] + 1
+    unseen = [d for d in range(150) if zlib.crc32(str(d).encode()) % 10 == 0]
+    assert sum(found[d] for d in unseen) > sum(root[d] for d in unseen)
+
+
 def test_scoring_edge_rows(edges, empty):
     found = suffix_tree.score(edges)
     assert found.count() == 11 and found.where("doc_id = 0 and n_tokens = 1").count() == 1

@@ -1,10 +1,11 @@
 """Language-model scoring with a probabilistic suffix tree over the spelling of tokens.
 
-A text is its words in lower case and one end token.  A token is its bytes and a
-closing blank; the end token is a closing blank alone.  The tree predicts the next
-byte from the longest retained context, which may be any suffix of the token so
-far, its opening included; it does not reach into the token before, so a token's
-probability can be stored with the vocabulary.
+A text is its words in lower case and one end token.  Its contexts are those of
+``token_contexts``, whole tokens before a token, in whatever length the divergence test
+retains.  Their root is the part here: a token's own probability, stored with the
+vocabulary.  It spells the token, its bytes and a closing blank; the end token is a
+closing blank alone.  The next byte is predicted from the longest retained context,
+which may be any suffix of the token so far, its opening included.
 
 * Counts come from all training texts: one shuffle of distinct words per task
   gives the vocabulary, and everything else is counted from that.
@@ -20,9 +21,9 @@ probability can be stored with the vocabulary.
 * A known token's whole spelling is the longest state of all: its discounted count
   is its own share, and what the discount frees is dealt out by the tree.
 
-Texts meet the vocabulary word by word.  Words above ``HEAVY_SHARE`` of all tokens,
-at most 1 / HEAVY_SHARE of them, are broadcast and scored in place; for the others
-a task sends each distinct word once with the texts that hold it.
+Texts meet the vocabulary and the entries of the token contexts in chunks that ask once
+for each hash of theirs; a bit table spares most of what is not there.  Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,16 +34,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vettica.llm import token_contexts
 from vettica.llm.bytegrams import looked_up, spelled, summed
 from vettica.llm.common import bound_batches, lower_words, remainder, stored, texts
+from vettica.llm.token_contexts import entries, word_keys
 
 DEPTH = 5
 LEAST_COUNT = 5
+#: Words above this share of all tokens are known to the tasks that count grams.
 HEAVY_SHARE = 1e-5
 PRIOR = 4.0
 #: Additive smoothing of the unigram base score.
@@ -53,6 +57,8 @@ END = b""
 HELD = 600_000
 #: About so many vocabulary words ask for their grams together.
 CHUNK = 50_000
+#: About so many bytes of text ask for their words and contexts together.
+TOGETHER = 64 << 20
 
 
 class Tree(NamedTuple):
@@ -180,7 +186,8 @@ def fit(words: DataFrame) -> DataFrame:
 
 
 def log10_of_words(words: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, c, lp): the log10 probability of each word, from those of its grams."""
+    """(word, c, lp, key): the log10 probability of each word, from those of its grams,
+    and its hash."""
     chunks = max(1, -(-words.count() // CHUNK))
     dealt = words.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(chunks)))
 
@@ -194,70 +201,23 @@ def log10_of_words(words: DataFrame, known: DataFrame) -> DataFrame:
         gram, lp = summed(grams.column("gram").to_numpy(), grams.column("lp").to_numpy())
         codes, number = spelled([w.encode() for w in table.column("word").to_pylist()], DEPTH + 1)
         sums = np.bincount(number, lp[np.searchsorted(gram, codes)], table.num_rows)
-        return pa.table({"word": table.column("word"), "c": table.column("c"), "lp": pa.array(sums)})
+        key = word_keys(table.column("word").combine_chunks())
+        return pa.table({"word": table.column("word"), "c": table.column("c"), "lp": pa.array(sums), "key": pa.array(key)})
 
     met = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, gram long").join(known, "gram")
-    return stored(dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, "word string, c long, lp double"))
-
-
-_SENT = pa.schema(
-    [
-        ("word", pa.string()),
-        ("chunk", pa.int64()),
-        ("rows", pa.list_(pa.int32())),
-        ("times", pa.list_(pa.int32())),
-        *((n, pa.list_(pa.float64() if n in ("base", "lp0") else pa.int64())) for n in ("doc", "tokens", "known0", "base", "lp0")),
-    ]
-)
-
-
-def _send(batch: pa.RecordBatch, heavy: dict[bytes, tuple[int, float, float]], chunk: int) -> pa.RecordBatch:
-    """One row per other word of the batch with its texts, and one row that has,
-    per text, its id, its tokens and the sums over its heavy words."""
-    index: dict[bytes, int] = {}
-    word, row, times = [], [], []
-    sums: list[tuple] = []
-    for at, text in enumerate(texts(batch)):
-        found = Counter(lower_words(text))
-        found[END] += 1
-        known, base, lp = 0, 0.0, 0.0
-        for w, n in found.items():
-            if (h := heavy.get(w)) is not None:
-                known += n * h[0]
-                base += n * h[1]
-                lp += n * h[2]
-            else:
-                word.append(index.setdefault(w, len(index)))
-                row.append(at)
-                times.append(n)
-        sums.append((found.total(), known, base, lp))
-    order = np.argsort(np.array(word, np.int64), kind="stable")
-    ends = np.cumsum(np.bincount(np.array(word, np.int64), minlength=len(index))) if index else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[0, ends, len(word)].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int32)[order])) for x in (row, times)]
-    whole = list(zip(*sums, strict=True)) or [()] * 4
-    none = [None] * len(index)
-    columns = [batch.column("doc").to_pylist(), *whole]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([w.decode() for w in index] + [f" {chunk}"]),
-            pa.array(np.full(len(index) + 1, chunk)),
-            *lists,
-            *(pa.array([*none, list(c)], f.type) for c, f in zip(columns, list(_SENT)[4:], strict=True)),
-        ],
-        schema=_SENT,
-    )
+    return stored(dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, "word string, c long, lp double, key long"))
 
 
-def score(documents: DataFrame, held_out: int = 10) -> DataFrame:
+def score(documents: DataFrame, held_out: int = 10, reach: int = token_contexts.REACH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
-    Scores are log10 probabilities of whole texts.  Null and empty texts are one end
+    Scores are log10 probabilities of whole texts.  ``reach`` is the most tokens of a
+    context; with 0 no context leaves its token.  Null and empty texts are one end
     token; a null doc_id counts as '' in the division and stays null.  Repeated rows
     and ids are rows of their own.  With no training text, every count is 0.  Other
     columns are not read."""
     spark = bound_batches(documents)
-    kind = documents.schema["doc_id"].dataType
+    kind = documents.schema["doc_id"].dataType.simpleString()
     words = vocabulary(documents, held_out)
     c = F.col("c")
     total, kinds, once, twice = words.agg(F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)).first()
@@ -266,42 +226,48 @@ def score(documents: DataFrame, held_out: int = 10) -> DataFrame:
         d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
         whole = F.greatest(c - d, F.lit(0.0)) / total + d * kinds / total * F.pow(F.lit(10.0), "lp")
         scored = scored.withColumn("lp", F.log10(whole))
+    table = scored.select("key", "c", "lp")
+    marked = None
+    if total and reach:
+        often = table.where(c >= max(1, HEAVY_SHARE * total)).toArrow()
+        frequent = spark.sparkContext.broadcast(token_contexts.frequent_words(often))
+        tree = token_contexts.grow(documents, table, frequent, total, held_out, reach)
+        marked = spark.sparkContext.broadcast(token_contexts.marks(tree.select("key")))
+        table = table.unionByName(tree, allowMissingColumns=True)
+    size = documents.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    dealt = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // TOGETHER)).alias("chunk"))
+
+    def asked(texts: pa.Table) -> pa.Table:
+        each = [np.empty(0, np.uint64)]
+        for batch in texts.to_batches():
+            found = entries(batch.column("text"), marked and marked.value, reach)
+            each.append(pd.unique(np.concatenate([key for key, _ in found])))
+        keys = pd.unique(np.concatenate(each))
+        return pa.table({"chunk": pa.array(np.full(len(keys), texts.column("chunk")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+
+    def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        key, first = np.unique(answers.column("key").to_numpy().view(np.uint64), return_index=True)
+        index = pd.Index(key)
+        lp = np.r_[answers.column("lp").to_numpy()[first], 0.0]  # the last: of what the bits let through
+        counts = answers.column("c").fill_null(0).to_numpy()[first]
+        logs = np.log10(counts + ADDED)
+        parts = [np.empty((4, 0))]
+        for batch in texts.to_batches():
+            found = entries(batch.column("text"), marked and marked.value, reach)
+            each = [(index.get_indexer(key), rows) for key, rows in found]
+            own, rows = each[0]
+            sums = [np.bincount(rows, x, batch.num_rows) for x in (np.ones(len(own)), counts[own] > 0, logs[own])]
+            parts.append(np.stack([*sums, sum(np.bincount(rows, lp[at], batch.num_rows) for at, rows in each)]))
+        n, known, base, logp = np.concatenate(parts, axis=1)
+        columns = {"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64))}
+        return pa.table({**columns, "base": pa.array(base), "score": pa.array(logp)})
+
+    met = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, key long").join(table, "key")
+    summed_up = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, f"doc_id {kind}, n_tokens long, n_known long, base double, score double")
     rest = math.log10(total + ADDED * (kinds + 1))
-    often = scored.where((F.col("c") >= max(1, HEAVY_SHARE * total))).collect()
-    heavy = spark.sparkContext.broadcast({r.word.encode(): (1, math.log10(r.c + ADDED), r.lp) for r in often})
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(source):
-            yield _send(batch, heavy.value, chunk + number)
-
-    sent = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(
-        run, "word string, chunk long, rows array<int>, times array<int>, doc array<long>, tokens array<long>, known0 array<long>, base array<double>, lp0 array<double>"
-    )
-    met = sent.join(scored, "word", "left")
-    each = met.select(
-        "chunk",
-        F.log10(F.col("c") + ADDED).alias("lc"),
-        F.col("c").alias("c"),
-        "lp",
-        F.explode(
-            F.when(F.col("doc").isNull(), F.arrays_zip("rows", "times")).otherwise(
-                F.transform(F.sequence(F.lit(0), F.size("doc") - 1), lambda i: F.struct(i.cast("int").alias("rows"), F.lit(0).alias("times")))
-            )
-        ).alias("x"),
-        F.when(F.col("doc").isNotNull(), F.arrays_zip("doc", "tokens", "known0", "base", "lp0")).alias("whole"),
-    ).select("chunk", F.col("x.rows").alias("at"), F.col("x.times").alias("times"), "lc", "c", "lp", F.get("whole", F.col("x.rows")).alias("own"))
-    zero = F.lit(0.0)
-    summed_up = each.groupBy("chunk", "at").agg(
-        F.max("own.doc").alias("doc"),
-        F.max("own.tokens").alias("n_tokens"),
-        F.sum(F.coalesce("own.known0", F.lit(0)) + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("own.base", zero) + F.coalesce(F.col("times") * F.col("lc"), zero)).alias("base"),
-        F.sum(F.coalesce("own.lp0", zero) + F.coalesce(F.col("times") * F.col("lp"), zero)).alias("score"),
-    )
     return summed_up.select(
-        F.col("doc").cast(kind).alias("doc_id"),
-        (remainder("doc", held_out) == 0).alias("held_out"),
+        "doc_id",
+        (remainder("doc_id", held_out) == 0).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
