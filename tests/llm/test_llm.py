@@ -192,6 +192,22 @@ def test_word_ids_with_a_small_memory(monkeypatch):
         assert words.of(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_memory_is_one_and_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    path = queries.vocabulary("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    rng = random.Random(1)
+    spelled = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    memory = lambda: [v for v in vars(words).values() if isinstance(v, dict)]
+    for text in [" ".join(f"{spelled(9)} {spelled(8)}." for _ in range(20)) for _ in range(60)]:
+        assert words.of(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, memory())) <= 2 * (200 + 60)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 10_000, raising=False)
+    for _ in range(40):
+        words.of(spelled(1_000))
+    assert sum(len(w) + len(ids) for held in memory() for w, ids in held.items()) < 50_000
+
+
 def test_packing_edge_rows(edges, empty):
     found = packing.pack(edges, queries.vocabulary("word_bpe_49k.json"))
     assert found.where("doc_id = 0").select("length", "doc_tokens").collect() == [(1, 1)]

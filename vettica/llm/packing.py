@@ -24,8 +24,10 @@ from vettica.llm.common import bound_batches, texts, words, worker_memory
 
 LONGEST = 4096
 END_ID = 2
-#: Words, and pieces of words, in each of the two halves of a worker's memory.
+#: Words, pieces of words among them, in each of the two halves of a worker's memory.
 REMEMBERED = 400_000
+#: Bytes of words and ids in a half; longer words fill it sooner.
+REMEMBERED_BYTES = 32 << 20
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -39,10 +41,12 @@ class WordIds:
 
     The ids of a text are those of its blank-separated words, looked up once and
     remembered.  A full young half of the memory becomes the old one, whose words come
-    back when they are asked for, so frequent words are never looked up again.  A word of Latin letters, digits and signs goes straight to the
-    tokenizer's BPE model, cut by the same pattern as its own pre-tokenizer; any
-    other word, or one that may hold a special token, goes through the whole
-    tokenizer.  The tests hold both against the tokenizer on whole texts."""
+    back when they are asked for, so frequent words are never looked up again.  A word
+    of Latin letters, digits and signs goes straight to the tokenizer's BPE model, cut
+    by the same pattern as its own pre-tokenizer; any other word, or one that may hold a
+    special token, goes through the whole tokenizer.  The pieces of a cut word have the
+    ids that they would have as words, so one memory holds both.  The tests hold all
+    against the tokenizer on whole texts."""
 
     def __init__(self, path: str):
         import regex
@@ -56,33 +60,31 @@ class WordIds:
         self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.held = 0
 
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
+    def piece(self, text: bytes) -> bytes:
+        found = self.words.get(text)
         if found is None:
-            found = self.old_pieces.get(text)
+            found = self.old_words.get(text)
             if found is None:
-                spelled = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+                spelled = text.decode() if text.isascii() else "".join([self.letters[b] for b in text])
                 ids = [t.id for t in self.model.tokenize(spelled)]
                 found = struct.pack(f"<{len(ids)}I", *ids)
-            self.pieces[text] = found
+            self.words[text] = found
+            self.held += len(text) + len(found)
         return found
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters only
+            return self.piece(word.lower())
         text = word.decode()
-        if text.isalpha() and text.isascii():
-            return self.piece(text.lower())
         if "<|" not in text and (text.isascii() and text.isprintable() or self.plain.fullmatch(text)):
-            return b"".join(map(self.piece, self.cut.findall(text.lower())))
+            return b"".join([self.piece(part.encode()) for part in self.cut.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> np.ndarray:
-        if len(self.words) > REMEMBERED:
-            self.words, self.old_words = {}, self.words
-        if len(self.pieces) > REMEMBERED:
-            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.words) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.words, self.old_words, self.held = {}, self.words, 0
         split, known = words(text), self.words
         found = list(map(known.get, split))
         if None in found:
@@ -96,6 +98,7 @@ class WordIds:
                         if ids is None:
                             ids = self.word(word)
                         known[word] = ids
+                        self.held += len(word) + len(ids)
                     found[at] = ids
         return np.frombuffer(b"".join(found), "<u4")
 
