@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -445,6 +448,46 @@ def test_contexts_cross_tokens_as_brute_force_says(spark, monkeypatch):
     assert sum(found[d] for d in unseen) > sum(root[d] for d in unseen)
 
 
+def test_scores_do_not_depend_on_how_texts_are_dealt(documents, monkeypatch):
+    want = sorted(suffix_tree.score(documents).collect())
+    for name, value in (("TOGETHER", 100_000), ("PART", 10_000), ("ANSWERED", 50_000), ("LAID", 30_000), ("HELD", 3_000), ("SPELLED", 9_000), ("CHUNK", 2_000)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    found = sorted(suffix_tree.score(documents).collect())
+    assert len(found) == len(want) > 0
+    for x, y in zip(found, want, strict=True):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-12)
+
+
+def test_tokens_are_asked_for_under_contexts_that_may_be_kept():
+    np, tc = bytegrams.np, suffix_tree.token_contexts
+    column = packing.pa.array(["a b c", None, "b c"])
+    hashes, rows = tc.token_hashes(column)
+    grams = [tc.grams(hashes, rows, k)[1] for k in (1, 2)]
+    # all grams are in the table, of the contexts only "b"
+    keys = np.concatenate([*map(tc.joined, grams), tc.joined(grams[0][1:2, :1]) ^ np.uint64(tc._CONTEXT)])
+    bits = np.zeros(1 << 14, np.uint64)
+    for shift in tc.SHIFTS:
+        place = keys >> np.uint64(shift) & np.uint64(64 * len(bits) - 1)
+        np.bitwise_or.at(bits, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    found = tc.entries(column, bits, 2)
+    assert [len(key) for key, _ in found] == [8, 2, 2, 0, 0]
+    assert found[2][0].tolist() == tc.joined(grams[0])[[1, 3]].tolist() and found[2][1].tolist() == [0, 2]
+
+
+def test_queries_of_a_model_leave_no_shuffle_files(spark, documents):
+    local = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: set(Path(local).glob("**/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    assert suffix_tree.score(documents).columns[0] == "doc_id"
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting) == kept
+
+
 def test_scoring_edge_rows(edges, empty):
     found = suffix_tree.score(edges)
     assert found.count() == 11 and found.where("doc_id = 0 and n_tokens = 1").count() == 1

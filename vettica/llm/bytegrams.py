@@ -30,13 +30,18 @@ def spelled(words: Sequence[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
     return codes[first[number] + (number + 1) * (order - 1) + inside], number
 
 
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys begins."""
+    return np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]][: len(keys)])
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their values."""
     if not len(keys):
         return keys, values
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    start = starts(keys)
     return keys[start], np.add.reduceat(values, start)
 
 

@@ -7,8 +7,10 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,19 @@ def give_up(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query inside when the query ends, not when
+    the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def bound_batches(frame: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches of at most ``BATCH`` bytes: rows of
     very long texts then come to Python a few at a time."""
@@ -119,6 +134,32 @@ def regrouped(source: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed value of a row."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(value: pa.Scalar) -> pa.RecordBatch:
+    """The batch that :func:`packed` made the value of."""
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def packed_numbers(**columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers as one compressed value; two bytes of each stand together,
+    as their high bytes are much alike."""
+    parts = {f"{name}{k}": np.ascontiguousarray(x) for name, c in columns.items() for k, x in enumerate(c.view(np.uint16).reshape(-1, 4).T)}
+    return packed(pa.record_batch(parts))
+
+
+def unpacked_numbers(batch: pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    """A column of the numbers that :func:`packed_numbers` made the batch of."""
+    parts = [batch.column(f"{name}{k}").to_numpy() for k in range(4)]
+    return np.stack(parts, axis=1).reshape(-1).view(kind)
+
+
 def worker_memory(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` returns, made once per Python worker process and kept for its
     later tasks: a vocabulary and what was looked up in it.  A worker keeps the last

@@ -21,27 +21,28 @@ which may be any suffix of the token so far, its opening included.
 * A known token's whole spelling is the longest state of all: its discounted count
   is its own share, and what the discount frees is dealt out by the tree.
 
-Texts meet the vocabulary and the entries of the token contexts in chunks that ask once
-for each hash of theirs; a bit table spares most of what is not there.  Words are told
-apart by 64-bit hashes.
+Texts are packed into chunks that ask the vocabulary and the entries of the token
+contexts once for each hash of theirs, by ranges of the hash; a bit table spares most of
+what is not there.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vettica.llm import token_contexts
-from vettica.llm.bytegrams import looked_up, spelled, summed
-from vettica.llm.common import bound_batches, lower_words, remainder, stored, texts
+from vettica.llm.bytegrams import looked_up, spelled, starts, summed
+from vettica.llm.common import bound_batches, give_up, packed, packed_numbers, regrouped, remainder, shuffles_dropped, stored, stored_for, unpacked, unpacked_numbers
 from vettica.llm.token_contexts import entries, word_keys
 
 DEPTH = 5
@@ -52,13 +53,21 @@ PRIOR = 4.0
 #: Additive smoothing of the unigram base score.
 ADDED = 0.1
 #: The end token, as a word: no word is empty.
-END = b""
+END = ""
 #: Distinct words that a task holds before it sends their counts on.
 HELD = 600_000
+#: Bytes of words whose grams a task sums before it sends their counts on.
+SPELLED = 1 << 20
 #: About so many vocabulary words ask for their grams together.
-CHUNK = 50_000
-#: About so many bytes of text ask for their words and contexts together.
-TOGETHER = 64 << 20
+CHUNK = 200_000
+#: About so many bytes of text ask for their words and contexts together, packed in
+#: parts of about so many bytes.
+TOGETHER = 32 << 20
+PART = 1 << 20
+#: About so many bytes of text ask for as many keys as are answered together.
+ANSWERED = 32 << 20
+#: Bytes of table rows that are dealt out to those ranges together.
+LAID = 8 << 20
 
 
 class Tree(NamedTuple):
@@ -122,33 +131,33 @@ def grow(rows: list[tuple[np.ndarray, np.ndarray]], total: float) -> Tree:
     )
 
 
-def vocabulary(documents: DataFrame, held_out: int = 10) -> DataFrame:
+def vocabulary(documents: DataFrame, held_out: int = 10) -> tuple[DataFrame, str]:
     """(word, c): every word of ``documents`` and the end token with its count in
-    the training texts, those whose crc32 remainder is not 0; written once."""
+    the training texts, those whose crc32 remainder is not 0; and its folder."""
     schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        others: set[bytes] = set()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rest = others.difference(seen)
-            words = [w.decode() for part in (seen, rest) for w in part]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*seen.values(), *[0] * len(rest)], pa.int64())], schema=schema)
-            seen.clear()
-            others.clear()
+    def counts(column: pa.Array, train: bool) -> pa.Table:
+        found = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(column))))
+        word, c = found.field("values").cast(pa.string()), found.field("counts")
+        solid = pc.not_equal(word, END)
+        word = pa.concat_arrays([word.filter(solid), pa.array([END][: len(column)], pa.string())])
+        c = pa.concat_arrays([c.filter(solid), pa.array([len(column)][: len(column)], pa.int64())])
+        return pa.table([word, c if train else pc.multiply(c, 0)], schema=schema)
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = schema.empty_table()
         for batch in source:
-            for text, train in zip(texts(batch), batch.column("train").to_pylist(), strict=True):
-                found = lower_words(text)
-                found.append(END)
-                (seen if train else others).update(found)
-                if len(seen) + len(others) > HELD:
-                    yield from out()
-        yield from out()
+            column, train = pc.fill_null(batch.column("text"), ""), batch.column("train")
+            held = pa.concat_tables([held, counts(column.filter(train), True), counts(column.filter(pc.invert(train)), False)])
+            if held.num_rows > HELD:
+                held = held.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+                if held.num_rows > HELD // 2:
+                    yield from held.to_batches()
+                    held = schema.empty_table()
+        yield from held.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).to_batches()
 
     counted = documents.select("text", (remainder("doc_id", held_out) != 0).alias("train")).mapInArrow(run, "word string, c long")
-    return stored(counted.groupBy("word").agg(F.sum("c").alias("c")))
+    return stored_for(counted.groupBy("word").agg(F.sum("c").alias("c")))
 
 
 def fit(words: DataFrame) -> DataFrame:
@@ -157,14 +166,14 @@ def fit(words: DataFrame) -> DataFrame:
     schema = pa.schema([("k", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in regrouped(source, SPELLED):
             codes, number = spelled([w.encode() for w in batch.column("word").to_pylist()], DEPTH + 1)
             n = batch.column("c").to_numpy()[number]
             for k in range(DEPTH, -1, -1):
                 codes, n = summed(codes & np.int64((1 << 8 * (k + 1)) - 1), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.array(n)], schema=schema)
 
-    grams = stored(words.mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    grams, folder = stored_for(words.mapInArrow(run, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")))
     first = grams.where("k = 0 and n > 0").select("gram", "n").toArrow()  # one row per byte
     root = summed(first.column("gram").to_numpy(), first.column("n").to_numpy().astype(float))
 
@@ -182,7 +191,9 @@ def fit(words: DataFrame) -> DataFrame:
         return pa.table({"gram": pa.array(whole, pa.int64()), "lp": pa.array(lp, pa.float64())})
 
     ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFF))
-    return stored(grams.where("k > 0").groupBy(ending.alias("ending")).applyInArrow(branch, "gram long, lp double"))
+    known = stored(grams.where("k > 0").groupBy(ending.alias("ending")).applyInArrow(branch, "gram long, lp double"))
+    give_up(words.sparkSession, folder)
+    return known
 
 
 def log10_of_words(words: DataFrame, known: DataFrame) -> DataFrame:
@@ -192,20 +203,22 @@ def log10_of_words(words: DataFrame, known: DataFrame) -> DataFrame:
     dealt = words.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(chunks)))
 
     def asked(table: pa.Table) -> pa.Table:
-        codes, _ = spelled([w.encode() for w in table.column("word").to_pylist()], DEPTH + 1)
-        codes = np.unique(codes)
+        each = [pd.unique(spelled([w.encode() for w in x.to_pylist()], DEPTH + 1)[0]) for x in table.column("word").chunks]
+        codes = pd.unique(np.concatenate(each))
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array(np.full(len(codes), chunk, np.int64)), "gram": pa.array(codes)})
 
     def answered(table: pa.Table, grams: pa.Table) -> pa.Table:
         gram, lp = summed(grams.column("gram").to_numpy(), grams.column("lp").to_numpy())
-        codes, number = spelled([w.encode() for w in table.column("word").to_pylist()], DEPTH + 1)
-        sums = np.bincount(number, lp[np.searchsorted(gram, codes)], table.num_rows)
+        sums = [np.empty(0)]
+        for x in table.column("word").chunks:
+            codes, number = spelled([w.encode() for w in x.to_pylist()], DEPTH + 1)
+            sums.append(np.bincount(number, lp[np.searchsorted(gram, codes)], len(x)))
         key = word_keys(table.column("word").combine_chunks())
-        return pa.table({"word": table.column("word"), "c": table.column("c"), "lp": pa.array(sums), "key": pa.array(key)})
+        return pa.table({"word": table.column("word"), "c": table.column("c"), "lp": pa.array(np.concatenate(sums)), "key": pa.array(key)})
 
     met = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, gram long").join(known, "gram")
-    return stored(dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, "word string, c long, lp double, key long"))
+    return dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, "word string, c long, lp double, key long")
 
 
 def score(documents: DataFrame, held_out: int = 10, reach: int = token_contexts.REACH) -> DataFrame:
@@ -217,8 +230,30 @@ def score(documents: DataFrame, held_out: int = 10, reach: int = token_contexts.
     and ids are rows of their own.  With no training text, every count is 0.  Other
     columns are not read."""
     spark = bound_batches(documents)
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    words = vocabulary(documents, held_out)
+    with shuffles_dropped(spark):
+        table, total, kinds, tree = _model(documents, held_out, reach)
+        marked = None if tree is None else spark.sparkContext.broadcast(token_contexts.marks(tree.select("key")))
+        size = documents.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    if tree is not None:
+        table = table.unionByName(tree, allowMissingColumns=True)
+    summed_up = _sums(documents.select("doc_id", "text"), table, marked, size, reach)
+    rest = math.log10(total + ADDED * (kinds + 1))
+    return summed_up.select(
+        "doc_id",
+        (remainder("doc_id", held_out) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
+        "score",
+    )
+
+
+def _model(documents: DataFrame, held_out: int, reach: int) -> tuple[DataFrame, int, int, DataFrame | None]:
+    """(key, c, lp) of all words, the training tokens, the distinct ones, and (key, lp) of
+    the contexts across tokens."""
+    spark = documents.sparkSession
+    words, folder = vocabulary(documents, held_out)
     c = F.col("c")
     total, kinds, once, twice = words.agg(F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)).first()
     scored = log10_of_words(words, fit(words))
@@ -226,51 +261,109 @@ def score(documents: DataFrame, held_out: int = 10, reach: int = token_contexts.
         d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
         whole = F.greatest(c - d, F.lit(0.0)) / total + d * kinds / total * F.pow(F.lit(10.0), "lp")
         scored = scored.withColumn("lp", F.log10(whole))
-    table = scored.select("key", "c", "lp")
-    marked = None
-    if total and reach:
-        often = table.where(c >= max(1, HEAVY_SHARE * total)).toArrow()
-        frequent = spark.sparkContext.broadcast(token_contexts.frequent_words(often))
-        tree = token_contexts.grow(documents, table, frequent, total, held_out, reach)
-        marked = spark.sparkContext.broadcast(token_contexts.marks(tree.select("key")))
-        table = table.unionByName(tree, allowMissingColumns=True)
-    size = documents.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0))).first()[0]
-    dealt = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // TOGETHER)).alias("chunk"))
+    table = stored(scored.select("key", "c", "lp"))
+    give_up(spark, folder)
+    if not (total and reach):
+        return table, total, kinds, None
+    often = table.where(c >= max(1, HEAVY_SHARE * total)).toArrow()
+    frequent = spark.sparkContext.broadcast(token_contexts.frequent_words(often))
+    return table, total, kinds, token_contexts.grow(documents, table, frequent, total, held_out, reach)
+
+
+def _sums(documents: DataFrame, table: DataFrame, marked: Broadcast | None, size: int, reach: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base, score) from (key, c, lp) of all words and entries;
+    ``base`` is without its divisor.  ``size``: the bytes of all texts."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    chunks = 1 + size // TOGETHER
+    bits = max(1, (size // ANSWERED).bit_length())
+
+    def dealt(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = int(TaskContext.get().partitionId() * 0.618 * chunks)  # spreads the tasks over the chunks
+        for at, batch in enumerate(regrouped(source, PART)):
+            yield pa.RecordBatch.from_arrays([pa.array([(first + at) % chunks], pa.int64()), pa.array([packed(batch)], pa.binary())], ["chunk", "part"])
+
+    def by_range(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        high = (keys >> np.uint64(64 - bits)).astype(np.int32)
+        return high[starts(high)], starts(high)
+
+    def sorted_once(each: list[np.ndarray]) -> np.ndarray:
+        keys = np.concatenate(each)
+        keys.sort()
+        return keys[starts(keys)]
+
+    def steps(keys: np.ndarray) -> np.ndarray:
+        return np.diff(keys, prepend=np.uint64(0))
+
+    def taken(values: pa.ChunkedArray, name: str, kind: type) -> list[np.ndarray]:
+        return [unpacked_numbers(unpacked(x), name, kind) for x in values]
 
     def asked(texts: pa.Table) -> pa.Table:
-        each = [np.empty(0, np.uint64)]
-        for batch in texts.to_batches():
-            found = entries(batch.column("text"), marked and marked.value, reach)
+        each = []
+        for part in texts.column("part"):
+            found = entries(unpacked(part).column("text"), marked and marked.value, reach)
             each.append(pd.unique(np.concatenate([key for key, _ in found])))
-        keys = pd.unique(np.concatenate(each))
-        return pa.table({"chunk": pa.array(np.full(len(keys), texts.column("chunk")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+        keys = sorted_once(each)
+        ranges, first = by_range(keys)
+        parts = [packed_numbers(step=steps(x)) for x in np.split(keys, first[1:])]
+        chunk = np.full(len(ranges), texts.column("chunk")[0].as_py(), np.int64)
+        return pa.table({"chunk": chunk, "range": ranges, "keys": pa.array(parts, pa.binary())})
+
+    def laid(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regrouped(source, LAID):
+            key = batch.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            c, lp = batch.column("c").fill_null(0).to_numpy()[order], batch.column("lp").to_numpy()[order]
+            ranges, first = by_range(key[order])
+            cut = zip(*(np.split(x, first[1:]) for x in (key[order], c, lp)), strict=True)
+            parts = [packed_numbers(step=steps(k), c=n, lp=x) for k, n, x in cut]
+            yield pa.record_batch({"range": ranges, "rows": pa.array(parts, pa.binary())})
+
+    def looked_at(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        none = pa.table({"chunk": pa.array([], pa.int64()), "range": pa.array([], pa.int32()), "answers": pa.array([], pa.binary())})
+        if not asks.num_rows:
+            return none
+        key = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(x, dtype=np.uint64) for x in taken(rows.column("rows"), "step", np.uint64))])
+        order = np.argsort(key)
+        first = order[starts(key[order])]
+        key = key[first]
+        c = np.append(np.concatenate([np.empty(0, np.int64), *taken(rows.column("rows"), "c", np.int64)])[first], 0)
+        lp = np.append(np.concatenate([np.empty(0), *taken(rows.column("rows"), "lp", np.float64)])[first], 0.0)
+        parts = []
+        for ask in asks.column("keys"):
+            wanted = np.cumsum(unpacked_numbers(unpacked(ask), "step", np.uint64), dtype=np.uint64)
+            at = np.searchsorted(key, wanted)
+            at[np.append(key, np.uint64(0))[at] != wanted] = len(key)  # what the bits let through
+            parts.append(packed_numbers(c=c[at], lp=lp[at]))
+        return pa.table({"chunk": asks.column("chunk"), "range": asks.column("range"), "answers": pa.array(parts, pa.binary())})
 
     def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        key, first = np.unique(answers.column("key").to_numpy().view(np.uint64), return_index=True)
-        index = pd.Index(key)
-        lp = np.r_[answers.column("lp").to_numpy()[first], 0.0]  # the last: of what the bits let through
-        counts = answers.column("c").fill_null(0).to_numpy()[first]
-        logs = np.log10(counts + ADDED)
-        parts = [np.empty((4, 0))]
-        for batch in texts.to_batches():
+        held = []
+        for part in texts.column("part"):
+            batch = unpacked(part)
             found = entries(batch.column("text"), marked and marked.value, reach)
-            each = [(index.get_indexer(key), rows) for key, rows in found]
-            own, rows = each[0]
-            sums = [np.bincount(rows, x, batch.num_rows) for x in (np.ones(len(own)), counts[own] > 0, logs[own])]
-            parts.append(np.stack([*sums, sum(np.bincount(rows, lp[at], batch.num_rows) for at, rows in each)]))
+            at, keys = pd.factorize(np.concatenate([key for key, _ in found]))
+            ends = np.cumsum([len(key) for key, _ in found])[:-1]
+            each = [np.bincount(rows, minlength=batch.num_rows) for _, rows in found]
+            held.append((batch.column("doc_id"), keys, np.split(at.astype(np.int32), ends), each))
+        every = sorted_once([keys for _, keys, _, _ in held])  # in the order that they were asked in
+        answers = answers.sort_by("range").column("answers")
+        lp, counts = np.concatenate(taken(answers, "lp", np.float64)), np.concatenate(taken(answers, "c", np.int64))
+        parts, doc_ids = [], [ids for ids, *_ in held]
+        for _ in range(len(held)):
+            ids, keys, at, each = held.pop(0)
+            order = np.argsort(keys)
+            mine = np.empty(len(keys), np.int64)
+            mine[order] = np.searchsorted(every, keys[order])
+            rows = [np.repeat(np.arange(len(ids)), n) for n in each]
+            own, first = mine[at[0]], rows[0]
+            sums = [np.bincount(first, x, len(ids)) for x in (np.ones(len(own)), counts[own] > 0, np.log10(counts[own] + ADDED))]
+            parts.append(np.stack([*sums, sum(np.bincount(r, lp[mine[k]], len(ids)) for k, r in zip(at, rows, strict=True))]))
         n, known, base, logp = np.concatenate(parts, axis=1)
-        columns = {"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64))}
+        columns = {"doc_id": pa.chunked_array(doc_ids), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64))}
         return pa.table({**columns, "base": pa.array(base), "score": pa.array(logp)})
 
-    met = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, key long").join(table, "key")
-    summed_up = dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(answered, f"doc_id {kind}, n_tokens long, n_known long, base double, score double")
-    rest = math.log10(total + ADDED * (kinds + 1))
-    return summed_up.select(
-        "doc_id",
-        (remainder("doc_id", held_out) == 0).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
-        "score",
-    )
+    texts = documents.mapInArrow(dealt, "chunk long, part binary")
+    asks = texts.groupBy("chunk").applyInArrow(asked, "chunk long, range int, keys binary")
+    ranged = table.select("key", "c", "lp").mapInArrow(laid, "range int, rows binary")
+    answers = asks.groupBy("range").cogroup(ranged.groupBy("range")).applyInArrow(looked_at, "chunk long, range int, answers binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, f"doc_id {kind}, n_tokens long, n_known long, base double, score double")

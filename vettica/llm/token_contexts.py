@@ -32,8 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vettica.llm.bytegrams import looked_up
-from vettica.llm.common import remainder, stored
+from vettica.llm.bytegrams import looked_up, starts
+from vettica.llm.common import give_up, packed, remainder, stored, stored_for, unpacked
 from vettica.llm.wordhash import mixed, word_hashes
 
 REACH = 2
@@ -42,9 +42,9 @@ PRIOR = 4.0
 #: The hash of the end token; no word has it.
 END = np.uint64(0)
 #: Grams that a task holds before it sends their counts on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: About so many training tokens have their grams counted together.
-COUNTED = 1_000_000
+COUNTED = 3_000_000
 #: Root probability of words that are not among the frequent ones, as far as that decides
 #: what is looked up: any n > 1 of them pays for itself.
 RARE = 1e-12
@@ -79,18 +79,26 @@ def joined(tokens: np.ndarray) -> np.ndarray:
     return key
 
 
-def grams(hashes: np.ndarray, rows: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each token with ``reach`` tokens of its text before it: its row, and the hashes."""
+def grams(hashes: np.ndarray, rows: np.ndarray, reach: int, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each token with ``reach`` tokens of its text before it: its row, and the hashes;
+    of contexts that a table of bits may hold, if one is given."""
     at = np.flatnonzero(rows[reach:] == rows[: len(rows) - reach]) if len(rows) > reach else np.empty(0, np.int64)
+    if contexts is not None:
+        key = hashes[at]
+        for k in range(1, reach):
+            key = mixed(key * _STEP + hashes[at + k])
+        at = at[may_hold(contexts, key)]
     return rows[at], np.stack([hashes[at + k] for k in range(reach + 1)], axis=1)
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the set that a table of bits was made of."""
-    there = np.ones(len(keys), bool)
+    at = np.arange(len(keys))
     for shift in SHIFTS:
-        place = keys >> np.uint64(shift) & np.uint64(64 * len(bits) - 1)
-        there &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) > 0
+        place = keys[at] >> np.uint64(shift) & np.uint64(64 * len(bits) - 1)
+        at = at[(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) > 0]
+    there = np.zeros(len(keys), bool)
+    there[at] = True
     return there
 
 
@@ -113,44 +121,51 @@ def frequent_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], rows.column("c").to_numpy()[order], 10.0 ** rows.column("lp").to_numpy()[order]
 
 
-def _counts(documents: DataFrame, reach: int, candidates: Broadcast | None, frequent: Broadcast, total: int, held_out: int, last: bool) -> DataFrame:
+def _counts(documents: DataFrame, reach: int, candidates: Broadcast | None, frequent: Broadcast, total: int, held_out: int, last: bool) -> tuple[DataFrame, str]:
     """(gram, ctx, n, asks, pays) of the grams that may be named, or be contexts of the
-    next length: ``asks`` are the keys whose sum is the parent's log10."""
+    next length, and the folder they are stored in: ``asks`` are the keys whose sum is
+    the parent's log10."""
     bits = max(1, (total // COUNTED).bit_length())
-    sent = pa.schema([("bucket", pa.int32()), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    names = [f"t{k}" for k in range(reach + 1)]
     price = 0.5 * math.log(max(total, 2))
 
-    def summed(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def summed(parts: list[np.ndarray], each: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, tokens and counts of distinct grams; the list of parts is emptied."""
+        tokens = np.concatenate(parts)
+        parts.clear()
         key = joined(tokens)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        return key[start], tokens[order[start]], np.add.reduceat(n[order], start) if len(key) else n
-
-    def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.concatenate(held)
-        key, tokens, n = summed(tokens, np.ones(len(tokens), np.int64))
-        bucket, first = np.unique((key >> np.uint64(64 - bits)).astype(np.int32), return_index=True)
-        ends = np.r_[first, len(key)].astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends * width), pa.array(x)) for width, x in ((reach + 1, tokens.reshape(-1).view(np.int64)), (1, n))]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *lists], schema=sent)
+        start = starts(key)
+        n = np.diff(np.r_[start, len(key)]) if each is None else np.add.reduceat(np.concatenate(each)[order], start)
+        return key[start], tokens[order[start]], n
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, tokens, n = summed(held)
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+        first = starts(bucket)
+        for b, start, end in zip(bucket[first], first, np.r_[first, len(key)][1:], strict=True):
+            order = start + np.argsort(tokens[start:end, 0])  # equal tokens side by side take little room
+            columns = [pa.array(tokens[order, k]).dictionary_encode() for k in range(reach + 1)]
+            part = packed(pa.RecordBatch.from_arrays([*columns, pa.array(n[order])], [*names, "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.binary())], ["bucket", "grams"])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in source:
-            found = grams(*token_hashes(batch.column("text")), reach)[1]
-            if candidates is not None:
-                found = found[may_hold(candidates.value, joined(found[:, :-1]))]
-            held.append(found)
+            held.append(grams(*token_hashes(batch.column("text")), reach, candidates and candidates.value)[1])
             if sum(map(len, held)) > HELD:
-                yield send(held)
-                held = []
+                yield from send(held)
         if held:
-            yield send(held)
+            yield from send(held)
 
     def counted(table: pa.Table) -> pa.Table:
-        flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy()
-        key, tokens, n = summed(flat("grams").view(np.uint64).reshape(-1, reach + 1), flat("n"))
+        parts, n = [], []
+        for part in table.column("grams"):
+            columns = unpacked(part)
+            parts.append(np.stack([x.dictionary.to_numpy()[x.indices.to_numpy()] for x in map(columns.column, names)], axis=1))
+            n.append(columns.column("n").to_numpy())
+        key, tokens, n = summed(parts, n)
         often = n > 1
         key, tokens, n = key[often], np.ascontiguousarray(tokens[often]), n[often]
         words, times, shares = frequent.value
@@ -169,8 +184,8 @@ def _counts(documents: DataFrame, reach: int, candidates: Broadcast | None, freq
         columns = (key.view(np.int64), joined(tokens[:, :-1]).view(np.int64), n, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat_asks)), pays)
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["gram", "ctx", "n", "asks", "pays"])
 
-    told = documents.where(remainder("doc_id", held_out) != 0).select("text").mapInArrow(run, "bucket int, grams array<long>, n array<long>")
-    return stored(told.groupBy("bucket").applyInArrow(counted, "gram long, ctx long, n long, asks array<long>, pays boolean"))
+    told = documents.where(remainder("doc_id", held_out) != 0).select("text").mapInArrow(run, "bucket int, grams binary")
+    return stored_for(told.groupBy("bucket").applyInArrow(counted, "gram long, ctx long, n long, asks array<long>, pays boolean"))
 
 
 def grow(documents: DataFrame, root: DataFrame, frequent: Broadcast, total: int, held_out: int, reach: int = REACH) -> DataFrame:
@@ -179,17 +194,23 @@ def grow(documents: DataFrame, root: DataFrame, frequent: Broadcast, total: int,
     ``root`` has (key, c, lp) of every word, ``total`` training tokens."""
     spark = documents.sparkSession
     price = 0.5 * math.log(max(total, 2))
-    tree = spark.createDataFrame([], "key long, lp double")
+    tree = None
     known = root.select(F.col("key").alias("ctx"), F.col("c").alias("total"))
-    candidates = None
+    candidates = before = None
     for length in range(1, reach + 1):
-        found = _counts(documents, length, candidates, frequent, total, held_out, length == reach)
+        found, folder = _counts(documents, length, candidates, frequent, total, held_out, length == reach)
         paying = found.where("pays").join(known, "ctx").where(F.col("total") >= LEAST_COUNT)
-        asked = found.where("pays").select("gram", F.explode("asks").alias("key"))
-        parent = asked.join(root.select("key", "lp").unionByName(tree), "key").groupBy("gram").agg(F.pow(F.lit(10.0), F.sum("lp")).alias("q"))
+        paying = paying.withColumn("key", F.element_at("asks", 1)).join(root.select("key", "lp"), "key")
+        if tree is not None:
+            asked = found.where("pays").select("gram", F.explode(F.slice("asks", 2, 2 * length)).alias("key"))
+            more = asked.join(tree, "key").groupBy("gram").agg(F.sum("lp").alias("more"))
+            paying = paying.join(more, "gram", "left").withColumn("lp", F.col("lp") + F.coalesce("more", F.lit(0.0))).drop("more")
+        paying = paying.withColumn("q", F.pow(F.lit(10.0), "lp")).drop("asks", "pays", "key", "lp")
         own = (F.col("n") - 1) / (F.col("total") + PRIOR)
-        named = paying.drop("asks", "pays").join(parent, "gram").withColumn("own", own).where(F.col("n") * F.log1p(F.col("own") / F.col("q")) >= price)
-        named = stored(named)
+        named = paying.withColumn("own", own).where(F.col("n") * F.log1p(F.col("own") / F.col("q")) >= price)
+        named, named_folder = stored_for(named)
+        if before:
+            give_up(spark, before)  # its contexts are in what is named now
         back = (F.max("total") - F.sum(F.col("n") - 1) + PRIOR) / (F.max("total") + PRIOR)
         each = named.join(named.groupBy("ctx").agg(back.alias("back")), "ctx")
         rest = F.max("total") - F.sum("n")
@@ -197,10 +218,14 @@ def grow(documents: DataFrame, root: DataFrame, frequent: Broadcast, total: int,
         kept = each.groupBy("ctx").agg(F.max("back").alias("back"), gain.alias("gain")).where("gain >= 0").select("ctx", "back")
         contexts = kept.select(F.col("ctx").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), F.log10("back").alias("lp"))
         tokens = named.join(kept, "ctx").select(F.col("gram").alias("key"), F.log10(1 + F.col("own") / F.col("q") / F.col("back")).alias("lp"))
-        tree = tree.unionByName(stored(contexts.unionByName(tokens)))
+        grown = stored(contexts.unionByName(tokens))
+        tree = grown if tree is None else tree.unionByName(grown)
+        give_up(spark, named_folder)
+        before = folder
         if length < reach:
             known = found.where(F.col("n") >= LEAST_COUNT).select(F.col("gram").alias("ctx"), F.col("n").alias("total"))
             candidates = spark.sparkContext.broadcast(marks(known.select(F.col("ctx").alias("key"))))
+    give_up(spark, folder)
     return tree
 
 
@@ -209,9 +234,15 @@ def entries(column: pa.Array, tree: np.ndarray | None, reach: int = REACH) -> li
     and of named tokens that they may meet, by length."""
     hashes, at = token_hashes(column)
     found = [(hashes, at)]
+    start, key = np.arange(len(hashes)), hashes
     for length in range(1, reach + 1 if tree is not None else 0):
-        rows, tokens = grams(hashes, at, length)
-        for key in (joined(tokens[:, :-1]) ^ np.uint64(_CONTEXT), joined(tokens)):
-            there = may_hold(tree, key)
-            found.append((key[there], rows[there]))
+        inside = start[: np.searchsorted(start, len(hashes) - length)]
+        inside = at[inside + length] == at[inside]
+        start, key = start[: len(inside)][inside], key[: len(inside)][inside]
+        context = key ^ np.uint64(_CONTEXT)
+        there = np.flatnonzero(may_hold(tree, context))
+        found.append((context[there], at[start[there]]))
+        key = mixed(key * _STEP + hashes[start + length])
+        there = there[may_hold(tree, key[there])]  # a token is named by a retained context only
+        found.append((key[there], at[start[there]]))
     return found
